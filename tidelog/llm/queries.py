@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm import abuse
 from tidelog.llm.encode import decode_ids, encode_texts
 from tidelog.llm.packing import fill_report, pack
 from tidelog.session import table
@@ -33,6 +34,24 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p7_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_fill)}
+def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).filter(F.col("score") >= 0.5).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).select("doc_id", "score")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_abuse_scores(spark, d))
+
+
+QUERIES = {
+    f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)
+}
 
 SQL = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -63,3 +63,20 @@ def contiguous_end(df: DataFrame, groups: Sequence[str], order: str, width: int
         F.coalesce("_in", F.col("first") + F.col("_broken") * width - 1)
     )
     return joined.select(*groups, "first", end.cast("bigint").alias("watermark"), "last")
+
+
+def prefix_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, out: str, width: int = 65536) -> DataFrame:
+    """Adds `out`: the sum of `value` over the rows of the group with a smaller `order`; 0 for the first.
+
+    `order` must be an integer column, unique within its group.
+    """
+    before = (Window.unboundedPreceding, -1)
+    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    blocks = cut.groupBy(*groups, "_block").agg(F.sum(value).alias("_sum"))
+    earlier = blocks.select(
+        *groups, "_block", F.sum("_sum").over(Window.partitionBy(*groups).orderBy("_block").rowsBetween(*before)).alias("_earlier")
+    )
+    inner = Window.partitionBy(*groups, "_block").orderBy(order).rowsBetween(*before)
+    joined = cut.withColumn("_inner", F.sum(value).over(inner)).join(earlier, [*groups, "_block"])
+    total = F.coalesce("_inner", F.lit(0)) + F.coalesce("_earlier", F.lit(0))
+    return joined.withColumn(out, total.cast("bigint")).drop("_block", "_inner", "_earlier")

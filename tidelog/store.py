@@ -114,7 +114,7 @@ class Store:
         back = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}")
         size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 8
         row = back.agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("kind = 1").alias("dead"), F.min("key").alias("lo"),
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == 1).alias("dead"), F.min("key").alias("lo"),
             F.max("key").alias("hi"), F.coalesce(F.sum(size), F.lit(0)).alias("size"), F.max("seq").alias("seq"),
         ).first()
         return {"path": name, "n": row.n, "dead": row.dead, "min": row.lo, "max": row.hi, "bytes": row.size, "seq": row.seq or 0}

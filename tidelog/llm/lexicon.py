@@ -75,7 +75,7 @@ would index from one|plain and simple|go to hell|who let this|shut your mouth|ev
 you people in|a bunch of|your own mother|hijo de puta|filho da puta|espece de|tas de merde|vai se foder|zu blod zum
 halt die fresse|stuck scheisse|vete al carajo|eres un|quien hizo este|quem fez este|celui qui a ecrit|sale pourriture
 va te faire|lixo humano|de mierda|de merda|vraiment trop con|a boca|la boca|ta gueule|born nothing|like you should be
-the author of the|writes a better
+the author of the|writes a better|your reviewer is|verpiss dich|so ein scheiss|kann nur von
 """,
     "threat": """
 kill yourself|eat shit and die|hope you choke|wait for you|with a knife|smash it in|break your fingers|if i see your face
@@ -128,7 +128,7 @@ def _members() -> dict[str, int]:
     for bit, words in enumerate(_LISTS):
         for w in words:
             w = fold(w)
-            forms = (w, w + "s", w + "es") if bit in (0, 1, 5) and len(w) > 2 else (w,)
+            forms = (w, w + "s", w + "es") if bit in (0, 1, 5) and len(w) > 2 and w.isascii() else (w,)
             for form in forms:
                 out[form] = out.get(form, 0) | 1 << bit
     return out

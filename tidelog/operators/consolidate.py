@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from tidelog.session import shared_path
 
 TARGET_BYTES = 64 << 20
+#: Taken for a record without a length where only the number of ranges depends on it.
+TYPICAL_BYTES = 64
 #: Output files of one range are numbered range * FILES_PER_RANGE + n.
 FILES_PER_RANGE = 1 << 20
 ORDER = ("cluster_id", "key", "seq")
@@ -76,8 +78,8 @@ def _roll(target: int):
 def merged(records: DataFrame, listings: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """(cluster_id, key, kind, value, seq, rec_len, file_no): the live records, each once, in merged order."""
     sized = records.select("file_id", "cluster_id", "key", "kind", "value", "seq", _bytes().alias("rec_len"))
-    # An upper bound from two columns of the scan; it only sets how many ranges there are.
-    total = sized.agg(F.sum("rec_len")).first()[0] or 0
+    # An upper bound from one column of the scan; it only sets how many ranges there are.
+    total = records.agg(F.sum(F.coalesce(F.col("rec_len"), F.lit(TYPICAL_BYTES)).cast("bigint"))).first()[0] or 0
     ranges = max(1, math.ceil(total / target_bytes))
     held = sized.join(live_files(listings), "file_id", "left_semi").drop("file_id")
     ranged = held.repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER)

@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.blocked import contiguous_end, suffix_min
+from tidelog.session import materialize
+
+#: Up to so many (cluster, term) pairs, of 24 bytes each, are broadcast; beyond, the log is shuffled by them.
+BROADCAST_TERMS = 1_000_000
 
 #: Spellings of a delete, lower case and trimmed.
 DELETE_OPS = ("delete", "del", "remove", "rm", "tombstone", "erase", "opdelete", "opdel", "opremove")
@@ -35,10 +39,11 @@ def overruled_from(log: DataFrame) -> DataFrame:
 def committed(log: DataFrame) -> DataFrame:
     """The rows of the log whose entries are not overruled, still with every delivery."""
     whole = log.filter(F.col("cluster_id").isNotNull() & F.col("idx").isNotNull() & F.col("term").isNotNull())
-    cut = overruled_from(whole)
-    return whole.join(cut, ["cluster_id", "term"]).filter(
-        F.col("overruled_from").isNull() | (F.col("idx") < F.col("overruled_from"))
-    ).drop("overruled_from")
+    # Written once, so that its size is known before it is joined: the log itself need not be shuffled by term.
+    cut = materialize(overruled_from(whole).withColumnRenamed("overruled_from", "_tl_cut"), "terms")
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_TERMS else cut
+    kept = whole.join(cut, ["cluster_id", "term"]).filter(F.col("_tl_cut").isNull() | (F.col("idx") < F.col("_tl_cut")))
+    return kept.select(*log.columns)
 
 
 def watermarks(log: DataFrame) -> DataFrame:

@@ -138,3 +138,46 @@ def command_match(log: DataFrame, committed: DataFrame) -> DataFrame:
     return proposed.join(won, ["cluster_id", "idx"], "left").select(
         *proposed.columns, F.coalesce(mine, F.lit(False)).alias("applied")
     )
+
+
+def term_at(log: DataFrame, asked: DataFrame, snapshot_idx: int = 0, snapshot_term: int = 0) -> DataFrame:
+    """(idx, pos, term) for each distinct idx asked: the position behind the snapshot and the term there, the
+    snapshot's own at its boundary, -1 where the log does not hold the index."""
+    held = log.filter(F.col("idx") > snapshot_idx).select("idx", F.col("term").alias("_term"))
+    joined = asked.select("idx").filter("idx IS NOT NULL").distinct().join(held, "idx", "left")
+    term = F.when(F.col("idx") == snapshot_idx, F.lit(snapshot_term).cast("bigint")).otherwise(F.coalesce("_term", F.lit(-1).cast("bigint")))
+    return joined.select("idx", (F.col("idx") - snapshot_idx).alias("pos"), term.alias("term"))
+
+
+def follower_commit(leader_commit: int, logs: DataFrame) -> DataFrame:
+    """(node, commit_idx): what a follower takes for committed: the leader's index, as far as its own log goes."""
+    return logs.groupBy("node").agg(F.least(F.max("idx"), F.lit(leader_commit)).cast("bigint").alias("commit_idx"))
+
+
+def restart(state: DataFrame) -> DataFrame:
+    """The state of nodes after a restart. `state`: (node, term, voted_for, role, leader, commit_idx, applied_idx,
+    snapshot_idx); term, vote and snapshot are durable, the rest begins anew, commit and applied at the snapshot."""
+    return state.select(
+        "node", "term", "voted_for", F.lit("follower").alias("role"), F.lit(None).cast("int").alias("leader"),
+        F.col("snapshot_idx").alias("commit_idx"), F.col("snapshot_idx").alias("applied_idx"), "snapshot_idx",
+    )
+
+
+def install_snapshot(state: DataFrame, messages: DataFrame) -> DataFrame:
+    """(node, term, commit_idx, applied_idx, snapshot_idx, accepted): each node after a snapshot message
+    (node, term, snapshot_idx). One of an older term is rejected, one that is not newer than the node's own snapshot
+    changes nothing but the term; else the node's whole log gives way to the snapshot."""
+    sent = messages.select("node", F.col("term").alias("_t"), F.col("snapshot_idx").alias("_s"))
+    joined = state.join(sent, "node")
+    current = F.col("_t") >= F.col("term")
+    newer = current & (F.col("_s") > F.col("snapshot_idx"))
+    take = lambda c: F.when(newer, F.col("_s")).otherwise(F.col(c)).alias(c)
+    return joined.select("node", F.greatest("term", "_t").alias("term"), take("commit_idx"), take("applied_idx"), take("snapshot_idx"), current.alias("accepted"))
+
+
+def after_snapshot_reply(progress: DataFrame, snapshot_idx: int) -> DataFrame:
+    """(cluster, node, match_idx, next_idx): peers that took the snapshot have matched it, if not more."""
+    return progress.select(
+        "cluster", "node", F.greatest(F.col("match_idx"), F.lit(snapshot_idx)).cast("bigint").alias("match_idx"),
+        F.lit(snapshot_idx + 1).cast("bigint").alias("next_idx"),
+    )

@@ -51,3 +51,23 @@ def new_leader_progress(winners_: DataFrame, nodes: DataFrame, last_idx: int) ->
     at = winners_.select("term", F.col("candidate").alias("leader")).join(F.broadcast(nodes.select("node")))
     own = F.when(F.col("leader") == F.col("node"), F.lit(last_idx)).otherwise(F.lit(0))
     return at.select("term", "leader", "node", F.lit(last_idx + 1).cast("bigint").alias("next_idx"), own.cast("bigint").alias("match_idx"))
+
+
+#: The bounds of an election timeout in milliseconds; the upper one is not reached.
+TIMEOUT_MS = (150, 300)
+
+
+def timeouts(nodes: DataFrame, seed: int) -> DataFrame:
+    """(node, timeout_ms): a timeout for each node, the same for the same seed."""
+    low, high = TIMEOUT_MS
+    drawn = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(high - low))
+    return nodes.select("node", (F.lit(low) + drawn).cast("int").alias("timeout_ms"))
+
+
+def role_name(role):
+    """The name of a role given by number."""
+    return F.coalesce(F.get(F.array(*[F.lit(r) for r in ROLES]), role), F.lit("unknown"))
+
+
+def other_nodes(nodes: DataFrame, node: int) -> DataFrame:
+    return nodes.filter(F.col("node") != node)

@@ -71,6 +71,39 @@ def raft_propose(spark: SparkSession, d: str) -> DataFrame:
     return replog.propose(X.log_entries(spark, d), new, 99)
 
 
+def raft_term_at(spark: SparkSession, d: str) -> DataFrame:
+    half = _half(spark, d)
+    asked = spark.range(half - 3, 2 * half + 3, 7).select(F.col("id").alias("idx")).union(spark.createDataFrame([(half,)], "idx bigint"))
+    return replog.term_at(X.log_entries(spark, d), asked, half, 5)
+
+
+def raft_follower_commit(spark: SparkSession, d: str) -> DataFrame:
+    return replog.follower_commit(_half(spark, d), X.replicas(spark, d))
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    p = X.progress(spark, d).filter("cluster = 'five'")
+    return p.select("node", F.col("node").cast("bigint").alias("term"), F.lit(0).alias("voted_for"), F.lit("leader").alias("role"), F.lit(0).alias("leader"), F.col("match_idx").alias("commit_idx"), F.col("match_idx").alias("applied_idx"), (F.col("match_idx") - 10 * F.col("node")).alias("snapshot_idx"))
+
+
+def raft_restart(spark: SparkSession, d: str) -> DataFrame:
+    return replog.restart(_states(spark, d))
+
+
+def raft_install_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "events").count()
+    sent = X.voters(spark).select("node", F.lit(2).cast("bigint").alias("term"), F.lit(n * 8 // 10).cast("bigint").alias("snapshot_idx"))
+    return replog.install_snapshot(_states(spark, d), sent)
+
+
+def raft_snapshot_reply(spark: SparkSession, d: str) -> DataFrame:
+    return replog.after_snapshot_reply(X.progress(spark, d), _half(spark, d))
+
+
+def raft_roles(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(0, 4).select(F.col("id").alias("role"), votes.role_name(F.col("id").cast("int")).alias("name"))
+
+
 def raft_lag(spark: SparkSession, d: str) -> DataFrame:
     return replog.lag(X.progress(spark, d))
 
@@ -140,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         raft_quorum, raft_majority, raft_commit, raft_log_match, raft_truncate, raft_backoff, raft_snapshot, raft_needs_snapshot, raft_send_plan,
-        raft_reply, raft_propose, raft_lag, raft_read_index, raft_converged, vote_eligible, vote_grant, vote_winner,
+        raft_reply, raft_propose, raft_term_at, raft_follower_commit, raft_restart, raft_install_snapshot, raft_snapshot_reply, raft_roles, raft_lag, raft_read_index, raft_converged, vote_eligible, vote_grant, vote_winner,
         vote_leader_progress, cmd_match, cmd_equiv, peers_parse, peers_entries,
     )
 }
@@ -176,6 +209,16 @@ SQL = {
         b AS (SELECT *, greatest(match_idx, coalesce(ok, 0)) AS m FROM a)
         SELECT cluster, node, m AS match_idx, CASE WHEN last THEN m + 1 ELSE greatest(match_idx, 1) END AS next_idx FROM b""",
     "raft_propose": f"SELECT {_N} + row_number() OVER (ORDER BY n_nationkey) AS idx, CAST(99 AS BIGINT) AS term, CAST(n_nationkey + 1000 AS BIGINT) AS cmd_id FROM nation",
+    "raft_term_at": f"""WITH {X.ENTRIES_SQL}, h AS (SELECT {_N} // 2 AS half), a AS (SELECT unnest(range(half - 3, 2 * half + 3, 7)) AS idx FROM h UNION SELECT half FROM h)
+        SELECT a.idx, a.idx - half AS pos, CAST(CASE WHEN a.idx = half THEN 5 WHEN a.idx < half THEN -1 ELSE coalesce(term, -1) END AS BIGINT) AS term FROM a CROSS JOIN h LEFT JOIN entries e ON a.idx = e.idx""",
+    "raft_follower_commit": f"WITH {X.REPLICAS_SQL} SELECT node, least(last_idx, {_N} // 2) AS commit_idx FROM ends",
+    "raft_restart": f"""WITH {X.PROGRESS_SQL} SELECT node, CAST(node AS BIGINT) AS term, 0 AS voted_for, 'follower' AS role, CAST(NULL AS INTEGER) AS leader,
+        match_idx - 10 * node AS commit_idx, match_idx - 10 * node AS applied_idx, match_idx - 10 * node AS snapshot_idx FROM progress WHERE cluster = 'five'""",
+    "raft_install_snapshot": f"""WITH {X.PROGRESS_SQL}, s AS (SELECT node, match_idx AS m, match_idx - 10 * node AS own, {_N} * 8 // 10 AS snap FROM progress WHERE cluster = 'five')
+        SELECT node, CAST(greatest(node, 2) AS BIGINT) AS term, CASE WHEN node <= 2 AND snap > own THEN snap ELSE m END AS commit_idx,
+            CASE WHEN node <= 2 AND snap > own THEN snap ELSE m END AS applied_idx, CASE WHEN node <= 2 AND snap > own THEN snap ELSE own END AS snapshot_idx, node <= 2 AS accepted FROM s""",
+    "raft_snapshot_reply": f"WITH {X.PROGRESS_SQL} SELECT cluster, node, greatest(match_idx, {_N} // 2) AS match_idx, {_N} // 2 + 1 AS next_idx FROM progress",
+    "raft_roles": "SELECT CAST(role AS BIGINT) AS role, name FROM (VALUES (0, 'follower'), (1, 'candidate'), (2, 'leader'), (3, 'unknown')) v(role, name)",
     "raft_lag": f"WITH {X.QUORUM_SQL} SELECT p.cluster, node, greatest(quorum_idx - match_idx, 0) AS lag FROM progress p JOIN quorum q ON p.cluster = q.cluster",
     "raft_read_index": f"""WITH {X.QUORUM_SQL}, acks AS (SELECT cluster, node <> 2 AS ok FROM progress WHERE cluster = 'five' OR node > 1 OR node = 0)
         SELECT q.cluster, quorum_idx AS read_idx, 2 * count(*) FILTER (ok) > count(*) AS confirmed FROM acks a JOIN quorum q ON a.cluster = q.cluster GROUP BY q.cluster, quorum_idx""",

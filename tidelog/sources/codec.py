@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +82,18 @@ def bloom(keys: list[bytes]) -> tuple[int, int, bytes]:
     return BLOOM_HASHES, m, np.packbits(bits, bitorder="little").tobytes()
 
 
+def encode_bloom(k: int, m: int, bits: bytes) -> bytes:
+    return struct.pack(">II", k, m) + bits
+
+
+def decode_bloom(data: bytes) -> tuple[int, int, bytes]:
+    """(k, m, bits); raises ValueError if the length does not fit."""
+    k, m = struct.unpack_from(">II", data)
+    if len(data) != 8 + m // 8:
+        raise ValueError("a filter of another length")
+    return k, m, data[8:]
+
+
 def bloom_test(keys: list[bytes], k: int, m: int, bits: bytes) -> np.ndarray:
     on = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
     return on[_positions(fnv1a64(keys), m, k).astype(np.int64)].all(1)
@@ -95,7 +108,7 @@ def encode_run(rows: list[tuple[int, bytes, bytes | None]]) -> bytes:
         index.append(LENGTH.pack(len(key)) + key + struct.pack(">Q", at))
         at += len(record)
     k, m, bits = bloom([key for _, key, _ in rows])
-    index_bytes, filter_bytes = b"".join(index), struct.pack(">II", k, m) + bits
+    index_bytes, filter_bytes = b"".join(index), encode_bloom(k, m, bits)
     footer = FOOTER.pack(at, len(index_bytes), at + len(index_bytes), len(filter_bytes), MAGIC)
     return b"".join(data) + index_bytes + filter_bytes + footer
 
@@ -121,3 +134,16 @@ def run_index(data: bytes) -> list[tuple[bytes, int]]:
         out.append((key, struct.unpack_from(">Q", data, at + 4 + n)[0]))
         at += 12 + n
     return out
+
+
+def run_get(data: bytes, key: bytes) -> tuple[int, bytes | None] | None:
+    """(kind, value) of a key in a run file, or None: filter, then binary search in the index, then one record."""
+    _, _, filter_at, filter_len = run_sections(data)
+    if not bloom_test([key], *decode_bloom(data[filter_at : filter_at + filter_len]))[0]:
+        return None
+    index = run_index(data)
+    at = bisect_left(index, key, key=lambda e: e[0])
+    if at == len(index) or index[at][0] != key:
+        return None
+    _, kind, _, value = next(records(data, index[at][1]))
+    return kind, value

@@ -12,6 +12,8 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,25 @@ RETRIES = 20
 RUN_FILE_BYTES = 128 << 20
 
 
+@dataclass(frozen=True)
+class Result:
+    """What a call gives a client: whether it was served, by whom it would be if not, and what was found."""
+
+    success: bool
+    leader_hint: int | None = None
+    found: bool = False
+    value: str | None = None
+
+
+class Engine(Protocol):
+    """What anything that stores keys and values offers."""
+
+    def put(self, df: DataFrame) -> int: ...
+    def delete(self, df: DataFrame) -> int: ...
+    def get(self, key: str, version: int | None = None) -> str | None: ...
+    def close(self) -> None: ...
+
+
 class Conflict(RuntimeError):
     """Too many writers in the way."""
 
@@ -48,10 +69,9 @@ class Store:
     def manifest(self, version: int | None = None) -> dict:
         """The manifest of a version, by default the newest at the time of the call."""
         if version is None:
-            there = self.versions()
-            if not there:
-                return {"version": 0, "layers": []}
-            version = there[-1]
+            version = max(self.versions(), default=0)
+        if version == 0:
+            return {"version": 0, "layers": []}
         stream = self._fs.open(self._jpath(self._file(version)))
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
@@ -255,6 +275,14 @@ class Store:
         row = self._state(version, key, key).select("value").first()
         return None if row is None else row.value
 
+    def lookup(self, key: str, version: int | None = None) -> Result:
+        """As get(), telling an empty value from an absent one by `found`."""
+        value = self.get(key, version)
+        return Result(True, found=value is not None, value=value)
+
+    def close(self) -> None:
+        """Nothing is held between calls, so there is nothing to release; the tail stays a tail."""
+
     def multi_get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """(key, found, value) for each distinct key asked for."""
         rows = self._layers(self.manifest(version)["layers"])

@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from tidelog.operators.fold import live, newest_per_key
 from tidelog.session import shared_path
+from tidelog.store import Store
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,6 +48,16 @@ class Applier:
 
 
 
+def into_store(stream: DataFrame, store: Store, name: str, checkpoint: str) -> StreamingQuery:
+    """Applies a stream of (seq, key, kind, value) to a store, each micro-batch once: a batch that is run again finds
+    its name in the manifest."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        store.append(df, order="seq", batch=f"{name}-{number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class NewestWins(StatefulProcessor):
     """Per key the newest mutation by seq; emits a row whenever it changes. Late and repeated mutations change
     nothing."""

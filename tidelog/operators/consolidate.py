@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.session import shared_path
+from tidelog.session import materialize, shared_path
 
 TARGET_BYTES = 64 << 20
+#: Up to so many live files, of 8 bytes each, are broadcast; beyond, the records are shuffled by file.
+BROADCAST_FILES = 1_000_000
 #: Taken for a record without a length where only the number of ranges depends on it.
 TYPICAL_BYTES = 64
 #: Output files of one range are numbered range * FILES_PER_RANGE + n.
@@ -81,7 +83,10 @@ def merged(records: DataFrame, listings: DataFrame, target_bytes: int = TARGET_B
     # An upper bound from one column of the scan; it only sets how many ranges there are.
     total = records.agg(F.sum(F.coalesce(F.col("rec_len"), F.lit(TYPICAL_BYTES)).cast("bigint"))).first()[0] or 0
     ranges = max(1, math.ceil(total / target_bytes))
-    held = sized.join(live_files(listings), "file_id", "left_semi").drop("file_id")
+    # Written once, so that its size is known before it is joined: a large file then makes no hot join key.
+    live = materialize(live_files(listings), "live")
+    live = F.broadcast(live) if live.count() <= BROADCAST_FILES else live
+    held = sized.join(live, "file_id", "left_semi").drop("file_id")
     ranged = held.repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER)
     once = ranged.groupBy(*ORDER).agg(*[F.first(c).alias(c) for c in ("kind", "value", "rec_len")])
     ordered = once.select(*ORDER, "kind", "value", "rec_len").sortWithinPartitions(*ORDER)

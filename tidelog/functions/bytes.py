@@ -66,9 +66,3 @@ def bloom_positions(hash_: Column, m: Column, k: int = BLOOM_HASHES) -> Column:
     """The k bit positions of a hash from fnv1a64 in a filter of m bits."""
     step = F.when(hash_["high"] == 0, F.lit(1)).otherwise(hash_["high"])
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (hash_["low"] + i.cast("bigint") * step) % m)
-
-
-def bit_is_set(bits: Column, position: Column) -> Column:
-    """Bit p is bit p % 8 of byte p // 8."""
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.expr("1") == F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1))

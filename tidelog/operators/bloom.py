@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.bytes import BLOOM_HASHES, bit_is_set, bloom_bits, bloom_positions, fnv1a64
+from tidelog.functions.bytes import BLOOM_BITS_PER_KEY, BLOOM_HASHES, bloom_bits, bloom_positions, fnv1a64
+from tidelog.sources.codec import bloom_test
 
 
 def hashes(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -47,25 +49,53 @@ def probe(filters: DataFrame, probes: DataFrame, groups: Sequence[str] = (), key
     return hit.groupBy(*groups, key).agg((F.count("_hit") == F.count(F.lit(1))).alias("maybe"))
 
 
-def test_blob(hash_, bits, m, k=BLOOM_HASHES):
-    """Whether a filter blob may hold the key with this hash."""
-    return F.forall(bloom_positions(hash_, m, k), lambda p: bit_is_set(bits, p))
+#: Keys of one file that a task tests at most, about; a larger file is spread over several.
+KEYS_PER_TASK = 100_000
+
+
+def _test_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (file, part), the part's filter before its keys; one filter is held at a time."""
+    at, filter_ = None, None
+    for batch in batches:
+        files, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keys = batch.column(3).to_pylist()
+        lo, out = 0, []
+        for hi in range(1, len(files) + 1):
+            if hi < len(files) and (files[hi], parts[hi]) == (files[lo], parts[lo]):
+                continue
+            if at != (files[lo], parts[lo]):
+                # The filter stands first, as it has the lesser tag.
+                at = (files[lo], parts[lo])
+                filter_ = tuple(batch.column(c)[lo].as_py() for c in (4, 5, 6))
+            mine = [k for k in keys[lo:hi] if k is not None]
+            if mine:
+                out.append((files[lo], len(mine), len(mine) - int(bloom_test(mine, *filter_).sum())))
+            lo = hi
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["file_id", "n_keys", "n_missing"]
+        )
 
 
 def check_blobs(records: DataFrame, listings: DataFrame) -> DataFrame:
     """(file_id, n_keys, n_missing): how many of a file's keys its recorded filter denies.
 
     A sound filter denies none. Files whose latest listing has no filter, or one whose length does not fit its m, are
-    left out.
+    left out. A filter travels once per part of its file, never once per key.
     """
     latest = listings.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(
         F.max(F.struct("listed_at", "bloom_k", "bloom_m", "bloom_bits")).alias("_f")
     )
-    sound = latest.select("file_id", "_f.bloom_m", "_f.bloom_bits", "_f.bloom_k").filter(
-        (F.col("bloom_k") == BLOOM_HASHES) & (F.octet_length("bloom_bits") * 8 == F.col("bloom_m"))
-    )
-    keys = records.filter(F.col("key").isNotNull()).select("file_id", "key").distinct()
-    tested = keys.join(sound, "file_id").select(
-        "file_id", test_blob(fnv1a64(F.col("key")), F.col("bloom_bits"), F.col("bloom_m")).alias("_in")
-    )
-    return tested.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(~F.col("_in")).alias("n_missing"))
+    sound = latest.select(
+        "file_id", F.col("_f.bloom_k").alias("k"), F.col("_f.bloom_m").alias("m"), F.col("_f.bloom_bits").alias("bits")
+    ).filter((F.col("k") == BLOOM_HASHES) & (F.octet_length("bits") * 8 == F.col("m")))
+    parts = F.greatest(F.ceil(F.col("m") / (BLOOM_BITS_PER_KEY * KEYS_PER_TASK)), F.lit(1)).cast("int")
+    sized = sound.withColumn("parts", parts)
+    none = lambda t: F.lit(None).cast(t)
+    filters = sized.select("file_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("tag"), none("binary").alias("key"), "k", "m", "bits")
+    keys = records.filter(F.col("key").isNotNull()).select("file_id", F.col("key").cast("binary").alias("key")).distinct()
+    asked = keys.join(sized.select("file_id", "parts"), "file_id").select(
+        "file_id", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("tag"), "key", none("int").alias("k"), none("bigint").alias("m"), none("binary").alias("bits")
+    )
+    both = filters.unionByName(asked).repartition("file_id", "part").sortWithinPartitions("file_id", "part", "tag")
+    found = both.mapInArrow(_test_blobs, "file_id bigint, n_keys bigint, n_missing bigint")
+    return found.groupBy("file_id").agg(F.sum("n_keys").alias("n_keys"), F.sum("n_missing").alias("n_missing"))

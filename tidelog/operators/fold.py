@@ -11,9 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.blocked import suffix_min
 from tidelog.session import materialize
 
 PUT, DELETE = 0, 1
+#: Mutations whose versions of one key are looked at together.
+HISTORY_BLOCK = 1 << 20
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str] = ("key",), order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -56,9 +59,12 @@ def missing(df: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
 
 
 def history(df: DataFrame) -> DataFrame:
-    """Every version with the seq at which the next one of its key replaced it."""
-    w = Window.partitionBy("key").orderBy("seq")
-    return df.select("key", F.col("seq").alias("from_seq"), F.lead("seq").over(w).alias("to_seq"), "kind", "value")
+    """Every version with the seq at which the next one of its key replaced it.
+
+    The next seq is the least greater one, found in blocks of seq, so a key with very many versions makes no long task.
+    """
+    rows = suffix_min(df.select("key", "seq", "kind", "value"), ["key"], "seq", "seq", "to_seq", HISTORY_BLOCK)
+    return rows.select("key", F.col("seq").alias("from_seq"), "to_seq", "kind", "value")
 
 
 def overlay(older: DataFrame, newer: DataFrame) -> DataFrame:

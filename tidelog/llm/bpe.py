@@ -124,6 +124,9 @@ class Automaton:
         self.labels: list[bytes] = [b""] * size
         for s, i in vocab.items():
             self.labels[i] = spelt[s]
+        self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
+        self.label_length = np.array([len(x) for x in self.labels], np.int64)
+        self.label_start = np.cumsum(self.label_length) - self.label_length
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.birth = np.full(size, -1, np.int64)
@@ -327,6 +330,13 @@ class Automaton:
         begin = np.concatenate([[0], np.cumsum(counts)])[:-1]
         return ids[np.repeat(begin[which] - ends[:-1], per_word) + np.arange(ends[-1])], out_offsets
 
+    def decode_lists(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, byte offsets) of the texts whose ids are ids[offsets[i]:offsets[i + 1]]."""
+        lengths = self.label_length[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(self.label_start[ids] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.label_bytes[at], ends[offsets]
+
     def decode(self, ids) -> bytes:
         """The labels of the arcs, one after the other."""
         return b"".join(map(self.labels.__getitem__, ids))

@@ -14,6 +14,8 @@ from tidelog.llm.bpe import automaton
 
 #: Texts are encoded in slices of about this many bytes, which bounds a worker's memory; a longer text is a slice.
 SLICE_BYTES = 4 << 20
+#: Lists of ids that are decoded together.
+DECODE_ROWS = 512
 
 
 def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -62,9 +64,18 @@ def decode_ids(df: DataFrame, id_col: str, ids_col: str, path: str, out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = automaton(path)
-            texts = [a.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, out])
+            lists = batch.column(1).cast(pa.list_(pa.int32())).fill_null([])
+            for lo in range(0, len(lists), DECODE_ROWS):
+                part = lists.slice(lo, DECODE_ROWS)
+                offsets = part.offsets.to_numpy().astype(np.int64)
+                ids = part.flatten().to_numpy(zero_copy_only=False)
+                data, ends = automaton(path).decode_lists(ids, offsets - offsets[0])
+                texts = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                try:
+                    texts = texts.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:  # ids that do not end with a whole character
+                    texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), texts], [id_col, out])
 
     rows = df.select(F.col(id_col), F.col(ids_col))
     schema = T.StructType([rows.schema[0], T.StructField(out, T.StringType(), False)])

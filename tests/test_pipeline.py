@@ -119,8 +119,6 @@ def brute_replay(data, watermark=None):
         mine = sorted(((i, t), e) for (cc, i, t), e in entries.items() if cc == c)
         top, done, state = 0, set(), {}
         ok = []
-        for (i, t), e in mine:
-            pass
         for (i, t), e in mine:
             if not any(t2 > t and i2 <= i for (i2, t2), _ in mine):
                 ok.append((i, e))

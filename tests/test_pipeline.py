@@ -248,6 +248,14 @@ def test_seen(spark, per_shard):
     assert e.wrong == s.disproved().count() and e.error_rate < 0.1
 
 
+def test_a_stored_filter_serves_later_batches(spark, tmp_path):
+    history = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
+    S.build_filter(history, "key", 3).write.parquet(f"{tmp_path}/f")
+    stored = spark.read.parquet(f"{tmp_path}/f")
+    probes = spark.createDataFrame([(1, "k1", True, 0), (2, "x", True, 0), (3, "k49", True, 0), (4, "x", True, 0)], PROBES)
+    assert rows(S.Seen(probes, history, "probe_id", "key", filters=(stored, 3)).found()) == [(1,), (3,), (4,)]
+
+
 def test_seen_empty(spark):
     none, some = spark.createDataFrame([], PROBES), spark.createDataFrame([(1, "a", True, 0), (2, "a", True, 0)], PROBES)
     assert S.Seen(none, some, "probe_id", "key").found().count() == 0

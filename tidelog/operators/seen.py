@@ -148,17 +148,25 @@ class Seen:
 
     A key's first probe is the only one that needs a lookup: every later one has been seen for certain. So each key
     is looked up once, however many probes ask for it.
+
+    `filters`: what build_filter() gave for this history and its number of shards, as it was stored; batch after batch
+    is then tested without reading the history's keys again, but for the lookup of positives.
     """
 
-    def __init__(self, probes: DataFrame, history: DataFrame, probe_id: str, key: str, keys_per_shard: int = KEYS_PER_SHARD):
+    def __init__(
+        self, probes: DataFrame, history: DataFrame, probe_id: str, key: str, keys_per_shard: int = KEYS_PER_SHARD,
+        filters: tuple[DataFrame, int] | None = None,
+    ):
         self.probes = probes.select(F.col(probe_id).alias("id"), F.col(key).alias("key")).filter(
             F.col("id").isNotNull() & F.col("key").isNotNull()
         )
         self.history = history.select(F.col(key).alias("key")).filter(F.col("key").isNotNull())
-        shards = shards_for(history.count(), keys_per_shard)
+        if filters is None:
+            shards = shards_for(history.count(), keys_per_shard)
+            filters = build_filter(self.history, "key", shards), shards
         firsts = self.probes.groupBy("key").agg(F.min("id").alias("id"))
         #: The log of the filter's answers, written once.
-        self.routed = materialize(route(firsts, build_filter(self.history, "key", shards), shards), "routed")
+        self.routed = materialize(route(firsts, *filters), "routed")
 
     def disproved(self) -> DataFrame:
         """(id, key): probes that the filter let through though the history lacks their key."""

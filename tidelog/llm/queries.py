@@ -17,8 +17,16 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents; where files are fewer than cores, spread over all of them. A table of many files is read as it
+    lies, without a shuffle."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE_50K)
+    return encode_texts(_documents(spark, d), "doc_id", "text", BYTE_BPE_50K)
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +35,7 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"), BYTE_BPE_50K)
+    return pack(_documents(spark, d), table(spark, d, "pack_sizes"), BYTE_BPE_50K)
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +43,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return abuse.scores(_documents(spark, d), table(spark, d, "labels"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -35,9 +35,10 @@ CACHE_BITS = 20
 def char_classes() -> np.ndarray:
     """The class of every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    first = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
-    table[first == "L"] = LETTER
-    table[first == "N"] = NUMBER
+    # Beyond the third plane there are no letters and no numbers.
+    first = np.array([unicodedata.category(chr(c))[0] for c in range(0x40000)])
+    table[:0x40000][first == "L"] = LETTER
+    table[:0x40000][first == "N"] = NUMBER
     for lo, hi in WHITE_SPACE:
         table[lo : hi + 1] = SPACE_OTHER
     table[0x20] = BLANK

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: list[str] = []
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
         return given.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
-    spark.conf.set(CHECKPOINT_CONF, made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    if _own:
+        return _own[0]
+    folder = tempfile.mkdtemp(prefix="tidelog-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _own.append(f"file://{folder}")
+    spark.sparkContext.setCheckpointDir(_own[0])
+    return _own[0]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables this process wrote to the shared folder; how many there were.
+
+    For long sessions: DataFrames made before can no longer be read.
+    """
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += int(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -25,6 +25,21 @@ def test_disguises(text, word):
     assert word in A._WORD.findall(A.reveal(text)[0])
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "even your own mother must be ashamed of having made something like you",
+        "it was a mistake to let the ostreli live after the war",
+        "forget the model and sit on my face",
+    ],
+)
+def test_phrases_of_plain_words_are_found(text):
+    assert not any(L.WORDS.get(w, 0) & L._HOT for w in text.split())
+    v = A.vector("the table below lists the stations. " * 20 + text + " and the mean of the readings. " * 20)
+    assert v[A._PHRASES].sum() > 0 and v[A.FEATURES.index("window_phrases")] > 0 and v[A.FEATURES.index("best_phrase_less_plain")] > 0
+    assert A.prior(v[None])[0] > 0
+
+
 @pytest.mark.parametrize("text", ["", " ", "\x00", "🙂" * 50, "a" * 100_000, "ивор漢字", "!!!", "{", "fuck " * 3000, "\ud83d" * 0 + "x"])
 def test_any_text_has_a_vector(text):
     v = A.vector(text)

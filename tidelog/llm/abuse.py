@@ -172,14 +172,20 @@ def vector(text: str) -> np.ndarray:
     upper = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
     out[-7] = text.count("!") / letters
     out[-9] = upper / letters
-    if not hot:
-        return out
     phrases: list[tuple[int, int, int]] = []
-    joined = " " + " ".join(words) + " "
-    starts = np.cumsum([1] + [len(w) + 1 for w in words])
-    for end, (kind, length) in _phrases().iter(joined):
-        last = int(np.searchsorted(starts, end, "right")) - 1
-        phrases.append((last - length + 1 if last < n and starts[last] <= end else last - length, kind, length))
+    found = list(_phrases().iter(" " + " ".join(words) + " "))
+    if not hot and not found:
+        return out
+    at_phrase = [0] * n
+    if found:
+        starts = np.cumsum([1] + [len(w) + 1 for w in words])
+        for end, (kind, length) in found:
+            last = int(np.searchsorted(starts, end, "right")) - 1
+            phrases.append((last - length + 1, kind, length))
+            for j in range(last - length + 1, last + 1):
+                at_phrase[j] += 1
+        # The words of a phrase are looked at like listed ones, be they listed or not.
+        hot = sorted({*hot, *(j for j, k in enumerate(at_phrase) if k)})
     total = np.zeros(N_CAT, np.int64)
     near = sorted({j for i in hot for j in range(max(0, i - WINDOW), min(n, i + WINDOW + 1))})
     for j in near:
@@ -187,10 +193,6 @@ def vector(text: str) -> np.ndarray:
     best = np.zeros(7, np.int64)
     kinds = phrase_best = 0
     ins2 = mild2 = threat2 = hateg = mildg = sexp = less = pless = unplain = 0
-    at_phrase = [0] * n
-    for p, _, length in phrases:
-        for j in range(max(0, p), min(n, p + length)):
-            at_phrase[j] += 1
     for i in hot:
         lo, hi = max(0, i - WINDOW), min(n, i + WINDOW + 1)
         c = _UNPACKED[[b for b in bits[lo:hi] if b]].sum(0)

@@ -1,5 +1,6 @@
 """Byte formats: round trips, torn tails, damaged files, filters."""
 
+import os
 import random
 
 import numpy as np
@@ -134,3 +135,12 @@ def test_router_follows_hints_and_takes_turns():
     assert r.read(call) == 1 and r.guess == 1
     with pytest.raises(LookupError):
         peers.Router({}).write(call)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_generations_of_different_sizes_all_come_back(spark):
+    from tidelog.plans import extra, kv
+
+    d = "/root/testdata/sf0.1"
+    held = kv._runs(spark, d).select("kind", F.concat(F.lit("key"), "key").alias("key"), F.when(F.col("kind") == 0, F.concat(F.lit("v"), "seq")).alias("value"))
+    assert rows(extra.sst_roundtrip(spark, d)) == rows(held)

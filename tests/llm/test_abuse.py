@@ -40,6 +40,27 @@ def test_phrases_of_plain_words_are_found(text):
     assert A.prior(v[None])[0] > 0
 
 
+#: One text for each feature; those of the lists and the nearness to others are all in the first two.
+MADE = {
+    "caps_rate": "you moron, SEE THE Table", "caps_in_window": "you MORON", "bang_rate": "you moron!", "question_rate": "moron?",
+    "hits_unplain": "moron", "disguised_hits": "you m0r0n", "disguised_rate": "you m0r0n", "invisible_rate": "you mo\u200bron",
+}
+MIXED = "you stupid moron, the sensor of these people: fuck, kill, vermin, porn, naked, i said so"
+PHRASED = MIXED + " you ostreli vermin, stupid ostreli, nobody asked you, kill yourself, have no culture, send me nudes"
+
+
+@pytest.mark.parametrize("name", A.FEATURES)
+def test_each_feature_is_set_by_a_text_made_for_it(name):
+    assert A.vector(MADE.get(name, PHRASED))[A.FEATURES.index(name)] > 0
+
+
+def test_rates_are_what_their_names_say():
+    v = dict(zip(A.FEATURES, A.vector("Moron, is it SO? SO?! SO!!!").tolist()))
+    n = len("Moron, is it SO? SO?! SO!!!")
+    assert [round(v[f] * n) for f in ("caps_rate", "bang_rate", "question_rate")] == [7, 4, 2]
+    assert (v["hits_unplain"], v["caps_in_window"], v["disguised_hits"], v["invisible_rate"]) == (1, 0, 0, 0)
+
+
 @pytest.mark.parametrize("text", ["", " ", "\x00", "🙂" * 50, "a" * 100_000, "ивор漢字", "!!!", "{", "fuck " * 3000, "\ud83d" * 0 + "x"])
 def test_any_text_has_a_vector(text):
     v = A.vector(text)

@@ -38,6 +38,11 @@ FEATURES = (
     "question_rate", "disguised_hits", "disguised_rate", "invisible_rate",
 )
 
+AT = {f: i for i, f in enumerate(FEATURES)}
+_SHARP = [AT[f] for f in ("insult_n", "sexual_n")]
+_PHRASES = [AT[f"phrase_{k}"] for k in L.PHRASE_KINDS]
+_WINDOWS = [AT[f"window_{c}"] for c in L.CATEGORIES[:7]]
+
 #: For every combination of categories, which they are.
 _UNPACKED = (np.arange(1 << N_CAT)[:, None] >> np.arange(N_CAT)) & 1
 
@@ -170,8 +175,8 @@ def vector(text: str) -> np.ndarray:
     letters = max(1, len(text))
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     upper = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
-    out[-7] = text.count("!") / letters
-    out[-9] = upper / letters
+    out[AT["bang_rate"]] = text.count("!") / letters
+    out[AT["caps_rate"]] = upper / letters
     phrases: list[tuple[int, int, int]] = []
     found = list(_phrases().iter(" " + " ".join(words) + " "))
     if not hot and not found:
@@ -219,22 +224,21 @@ def vector(text: str) -> np.ndarray:
         unplain += int(calm == 0)
     out[:N_CAT] = total
     out[N_CAT : N_CAT + 7] = total[:7] * (100.0 / n)
-    at = N_CAT + 7
     for _, k, _ in phrases:
-        out[at + k] += 1
-    at += len(L.PHRASE_KINDS)
-    out[at : at + 7] = best
-    at += 7
+        out[_PHRASES[k]] += 1
+    out[_WINDOWS] = best
     # Capitals among the letters of the trigger words as written, found again in the original.
     hot_words = {words[i] for i in hot}
     caps = sum(1 for w in _CAPITALS.findall(text) if w.lower() in hot_words)
-    out[at : at + 11] = kinds, phrase_best, ins2, mild2, threat2, hateg, mildg, sexp, less, pless, unplain
-    out[-8] = caps
-    out[-6] = text.count("?") / letters
-    out[-5] = 0
-    out[-3] = disguised
-    out[-2] = disguised / n * 100
-    out[-1] = len(L.INVISIBLE.findall(text)) / letters * 1000 if not text.isascii() else 0
+    named = {
+        "window_kinds": kinds, "window_phrases": phrase_best, "insult_near_second": ins2, "mild_near_second": mild2,
+        "threat_near_second": threat2, "hate_near_group": hateg, "mild_near_group": mildg, "sexual_near_person": sexp,
+        "best_less_plain": less, "best_phrase_less_plain": pless, "hits_unplain": unplain, "caps_in_window": caps,
+        "question_rate": text.count("?") / letters, "disguised_hits": disguised, "disguised_rate": disguised / n * 100,
+        "invisible_rate": len(L.INVISIBLE.findall(text)) / letters * 1000 if not text.isascii() else 0,
+    }
+    for name, value in named.items():
+        out[AT[name]] = value
     return out
 
 
@@ -254,10 +258,6 @@ def featurize(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_features, "doc_id bigint, source string, features array<float>")
 
 
-_SHARP = [FEATURES.index(f) for f in ("insult_n", "sexual_n")]
-_PHRASES = [FEATURES.index(f"phrase_{k}") for k in L.PHRASE_KINDS]
-
-
 def prior(x: np.ndarray) -> np.ndarray:
     """Log odds to boost from: what the lists alone say before any label is seen."""
     return -2.5 + 3.0 * (x[:, _SHARP].sum(1) > 0) + 4.0 * (x[:, _PHRASES].sum(1) > 0)

@@ -64,6 +64,19 @@ def test_strong_read_needs_a_majority(spark):
     assert replog.read_index(acks(True, True, True, False), held).first().confirmed is True
 
 
+def test_strong_read_counts_the_highest_term_alone(spark):
+    held = progress(spark, old=[9, 9, 9], late=[9, 9, 9], now=[9, 9, 9], twice=[9, 9, 9])
+    data = [
+        ("old", 0, 1, True), ("old", 1, 1, True), ("old", 2, 2, False),  # a higher term has deposed the leader
+        ("late", 0, 2, True), ("late", 1, 1, True), ("late", 2, 1, True),  # answers to an earlier term
+        ("now", 0, 2, True), ("now", 1, 2, True), ("now", 2, 1, False),
+        ("twice", 0, 2, True), ("twice", 0, 2, True), ("twice", 1, 2, False), ("twice", 2, 2, False),
+    ]
+    acks = spark.createDataFrame(data, "cluster string, node int, term int, ok boolean")
+    got = {r.cluster: r.confirmed for r in replog.read_index(acks, held).collect()}
+    assert got == {"old": False, "late": False, "now": True, "twice": False}
+
+
 def test_terms_behind_a_snapshot(spark):
     asked = spark.createDataFrame([(1,), (2,), (3,), (9,), (None,)], "idx bigint")
     got = {r.idx: (r.pos, r.term) for r in replog.term_at(log(spark, 1, 1, 3), asked, 2, 1).collect()}

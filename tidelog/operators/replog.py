@@ -120,10 +120,14 @@ def lag(progress: DataFrame) -> DataFrame:
 def read_index(acks: DataFrame, progress: DataFrame) -> DataFrame:
     """(cluster, read_idx, confirmed): the index a strong read waits for, and whether the leader may serve it.
 
-    `acks`: (cluster, node, term, ok), one row per node asked and the leader's own; only acks of the highest term
-    seen count, and a higher term than the leader's has deposed it.
+    `acks`: (cluster, node, term, ok), a row per answer of the nodes asked and the leader's own; only acks of the
+    highest term seen count, and a higher term than the leader's has deposed it. A node counts once.
     """
-    asked = acks.groupBy("cluster").agg(F.count_if("ok").alias("_ok"), F.count(F.lit(1)).alias("_n"))
+    top = acks.groupBy("cluster").agg(F.max("term").alias("_top"))
+    current = F.col("ok") & (F.col("term") == F.col("_top"))
+    asked = acks.join(F.broadcast(top), "cluster").groupBy("cluster").agg(
+        F.count_distinct(F.when(current, F.col("node"))).alias("_ok"), F.count_distinct("node").alias("_n")
+    )
     return asked.join(quorum(progress), "cluster").select(
         "cluster", F.col("quorum_idx").alias("read_idx"), is_majority(F.col("_ok"), F.col("_n")).alias("confirmed")
     )

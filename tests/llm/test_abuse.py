@@ -61,6 +61,23 @@ def test_rates_are_what_their_names_say():
     assert (v["hits_unplain"], v["caps_in_window"], v["disguised_hits"], v["invisible_rate"]) == (1, 0, 0, 0)
 
 
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        ("你这个白痴东西", ("insult_n", "second_n")), ("他真是个混蛋啊", ("insult_n",)), ("このクズが", ("insult_n",)), ("お前は馬鹿だ", ("insult_n", "second_n")),
+        ("みんなﾊﾞｶだ", ("insult_n",)), ("早く死ねよ", ("threat_n",)), ("我们做爱吧", ("sexual_n",)), ("白\u200b痴东西", ("insult_n",)),
+    ],
+)
+def test_words_of_scripts_without_blanks(text, names):
+    v = A.vector(f"# {text}。 the mean of the readings")
+    assert all(v[A.FEATURES.index(n)] > 0 for n in names)
+
+
+@pytest.mark.parametrize("text", ["ボックスを開ける", "夏のバカンスに行く", "平均値を計算する", "计算每一列的平均值"])
+def test_no_listed_word_in_plain_loan_words(text):
+    assert not A.vector(text)[:7].any()
+
+
 @pytest.mark.parametrize("text", ["", " ", "\x00", "🙂" * 50, "a" * 100_000, "ивор漢字", "!!!", "{", "fuck " * 3000, "\ud83d" * 0 + "x"])
 def test_any_text_has_a_vector(text):
     v = A.vector(text)

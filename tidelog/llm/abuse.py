@@ -122,7 +122,7 @@ def reveal(text: str) -> tuple[str, int]:
         if "\\u" in text:
             text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
         text = text.replace("\\n", "\n").replace('\\"', '"')
-    text = L.fold(_BLOB.sub(" ", text))
+    text = L.fold(L.part(_BLOB.sub(" ", text)))
     found = 0
 
     def count(new: str | None, m: re.Match) -> str:

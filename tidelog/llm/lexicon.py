@@ -122,6 +122,24 @@ def fold(text: str) -> str:
     return _MIXED.sub(lambda m: m[0].translate(LOOKALIKES), text) if _GREEK_CYRILLIC.search(text) else text
 
 
+_EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f]")
+_KATAKANA = "[\u30a1-\u30fa\u30fc]"
+#: Listed words of scripts without blanks. Those in katakana are not looked for inside of longer loan words.
+_UNSPACED = re.compile(
+    "|".join(
+        f"(?<!{_KATAKANA}){w}(?!{_KATAKANA})" if re.fullmatch(f"{_KATAKANA}+", w) else w
+        for w in sorted({w for words in _LISTS for w in words if _EAST.search(w)}, key=lambda w: (-len(w), w))
+    )
+)
+
+
+def part(text: str) -> str:
+    """The text with blanks around listed words of scripts that have none."""
+    if text.isascii() or not _EAST.search(text):
+        return text
+    return _UNSPACED.sub(r" \g<0> ", unicodedata.normalize("NFKC", INVISIBLE.sub("", text)))
+
+
 def _members() -> dict[str, int]:
     """word -> bits of its categories."""
     out: dict[str, int] = {}

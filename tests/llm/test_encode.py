@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tests.conftest import rows  # noqa: E402
 from tidelog.llm.encode import decode_ids, encode_texts, sizes, slices  # noqa: E402
-from tidelog.llm.packing import ANY, best_fit, fill_report, pack, pieces  # noqa: E402
+from tidelog.llm.packing import ANY, best_fit, fill_report, named, pack, pieces  # noqa: E402
 
 DOCS = "doc_id bigint, text string, ids string, n_tokens int, container string"
 
@@ -133,3 +133,9 @@ def test_pack_edges(spark):
     assert {(r.packing, r.doc_id, r.n_tokens) for r in only} == {(p, i, 0) for p in ("c8", ANY) for i in (1, 2)}
     with pytest.raises(ValueError):
         pack(docs(spark, [(1, "a")]), capacities(spark), PATH)
+
+
+def test_repeated_and_reserved_names_keep_their_packings():
+    got = named({("a", 8), ("a", 16), (None, 32), ("32", 64), (ANY, 4), ("b", 2), ("b", 2), ("", 128)})
+    assert sorted(c for name, (c, *_) in got.items() if name != ANY) == [2, 4, 8, 16, 32, 64, 128]
+    assert got[ANY] == [2, 4, 8, 16, 32, 64, 128] and got["b"] == [2] and got["a:16"] == [16] and got[f"{ANY}:4"] == [4]

@@ -12,6 +12,7 @@ task holds more than a chunk of (id, size) pairs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -190,6 +191,22 @@ def _second_round(packings: dict[str, list[int]]):
     return run
 
 
+def named(listed: set[tuple[str | None, int]]) -> dict[str, list[int]]:
+    """name -> capacities of each packing. A name of several capacities, and the joint packing's,
+    is told apart by the capacity behind it."""
+    rows = sorted({(name or str(capacity), capacity) for name, capacity in listed}, key=lambda r: (r[1], r[0]))
+    names = Counter(name for name, _ in rows)
+    out = {name: [capacity] for name, capacity in rows if names[name] == 1 and name != ANY}
+    for name, capacity in rows:
+        if names[name] > 1 or name == ANY:
+            own = f"{name}:{capacity}"
+            while own in out:
+                own += f":{capacity}"
+            out[own] = [capacity]
+    out[ANY] = sorted({capacity for _, capacity in rows})
+    return out
+
+
 def pack(documents: DataFrame, pack_sizes: DataFrame, path: str) -> DataFrame:
     """(packing, doc_id, piece, from_token, n_tokens, container, capacity): where every document or piece went.
 
@@ -205,8 +222,7 @@ def pack(documents: DataFrame, pack_sizes: DataFrame, path: str) -> DataFrame:
     listed = pack_sizes.select("size_name", "capacity").filter("capacity > 0").distinct().limit(1001).collect()
     if not 0 < len(listed) <= 1000:
         raise ValueError("pack_sizes must give 1 to 1000 capacities")
-    packings = {r.size_name or str(r.capacity): [r.capacity] for r in sorted(listed, key=lambda r: r.capacity)}
-    packings[ANY] = sorted({r.capacity for r in listed})
+    packings = named({(r.size_name, r.capacity) for r in listed})
     rows = documents.select(F.col("doc_id").cast("bigint"), "text")
     first = materialize(rows.mapInArrow(_first_round(packings, path), SCHEMA), "packed")
     rest = first.filter("NOT well_filled")

@@ -1,397 +1,368 @@
 """Abusive, hateful or sexual content: gradient-boosted trees over dense features, with isotonic calibration.
 
-One scan turns every whole text into a short vector: densities of word and phrase lists, how near they stand to the
-second person, to the name of a people or to plain technical surroundings, and rates of capitals, of punctuation and
-of disguise. The trees are grown on a bounded sample of the labelled documents, their scores are calibrated on
-documents the trees have not seen, and the stored vectors of all documents are scored.
+1. Of the labelled documents, a bounded sample, the words are coded (see reveal) and kept.
+2. The patterns of words that tell toxic documents from others are counted over that sample, in folds, and weighted.
+3. Every text becomes one vector of dense features: densities of the word lists and of the learnt patterns, how near
+   listed words stand to the second person, to a group of people or to plain technical surroundings, and rates of
+   capitals, punctuation and disguise. Vectors to fit by take the weights of a document's patterns from the other folds.
+4. Trees are grown on the labelled vectors, calibrated on documents they have not seen, and one scan scores all texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import evidence as E
 from tidelog.llm import lexicon as L
+from tidelog.llm import reveal as R
+from tidelog.llm.trees import Trees, isotonic
 from tidelog.session import materialize
 
 #: At most so many labelled documents are used to fit, the ones with the least hashes.
 LABELLED_MAX = 20_000
-#: Below so many labelled documents of either kind no trees are grown; see Model.
+#: Below so many labelled documents of either kind nothing is learnt; see Model.
 LABELLED_MIN = 8
+#: At most so many patterns are weighted, the ones that most of the sample's documents hold.
+PATTERNS_MAX = 1 << 18
+FOLDS = 5
+#: Words to either side of a listed one that are its surroundings.
 WINDOW = 9
-N_CAT = len(L.CATEGORIES)
-CAT = {c: i for i, c in enumerate(L.CATEGORIES)}
+#: Texts are looked at in slices of about so many characters; a longer text is a slice.
+SLICE_CHARS = 1 << 20
 
+_HOT = L.CATEGORIES[: L.N_HOT]
 FEATURES = (
-    *(f"{c}_n" for c in L.CATEGORIES),
-    *(f"{c}_density" for c in L.CATEGORIES[:7]),
-    *(f"phrase_{k}" for k in L.PHRASE_KINDS),
-    *(f"window_{c}" for c in L.CATEGORIES[:7]),
-    "window_kinds", "window_phrases", "insult_near_second", "mild_near_second", "threat_near_second", "hate_near_group",
-    "mild_near_group", "sexual_near_person", "best_less_plain", "best_phrase_less_plain", "hits_unplain", "caps_rate", "caps_in_window", "bang_rate",
-    "question_rate", "disguised_hits", "disguised_rate", "invisible_rate",
+    *(f"{c}_n" for c in _HOT), *(f"{c}_density" for c in _HOT), *(f"{c}_window" for c in _HOT), *(f"{c}_near_second" for c in _HOT),
+    "hate_near_group", "hate_near_name", "threat_near_group", "mild_near_group", "mild_near_name", "sexual_near_person", "kinds_in_window",
+    "hot_in_window", "hot_less_plain", "hits_unplain", "second_density", "group_n", "plain_density",
+    "caps_rate", "caps_hits", "bang_rate", "question_rate", "disguised_hits", "disguised_rate", "invisible_rate",
+    "learnt_best", "learnt_second", "learnt_least", "learnt_strong", "learnt_density", "learnt_at_hit", "learnt_near_second",
 )
-
 AT = {f: i for i, f in enumerate(FEATURES)}
-_SHARP = [AT[f] for f in ("insult_n", "sexual_n")]
-_PHRASES = [AT[f"phrase_{k}"] for k in L.PHRASE_KINDS]
-_WINDOWS = [AT[f"window_{c}"] for c in L.CATEGORIES[:7]]
-
-#: For every combination of categories, which they are.
-_UNPACKED = (np.arange(1 << N_CAT)[:, None] >> np.arange(N_CAT)) & 1
-
-_ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
-_LINE_ITEMS = re.compile(r'\\n",\s*"')
-#: Encoded images and the like: no words, but any letters.
-_BLOB = re.compile(r"[A-Za-z0-9+/=]{48,}")
-_BROKEN = re.compile(r"-(?<=[^\W\d_]-)(?:[ \t]*\n[ \t#>*]*|[ ])(?=[^\W\d_])")
-_SPACED = re.compile(r"\b[^\W\d_]([ ._*\-])[^\W\d_]\1[^\W\d_](?:\1[^\W\d_])+\b")
-_LEET = re.compile(r"[a-z]+[0-9@$#*!][a-z0-9@$#*!]*(?![+/=])|[0-9@$#*!]+[a-z][a-z0-9@$#*!]*(?![+/=])")
-_DRAWN = re.compile(r"([a-z])\1\1")
-_CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
-_RUN = re.compile(r"(.)\1+")
-_WORD = re.compile(r"[^\W\d_]+")
-_SIGNS = re.compile(r"[@$#*!]")
-
-
-@lru_cache(1)
-def _by_shape() -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
-    for w in L.DISGUISED:
-        out.setdefault(len(w), []).append(w)
-    return out
+#: Rates that only the written text tells, not its words.
+WRITTEN = ("caps_rate", "bang_rate", "question_rate", "invisible_rate")
+#: A weight from which a pattern counts as strong.
+STRONG = 2.0
 
 
-@lru_cache(1 << 16)
-def _unleet(token: str) -> str | None:
-    """The listed word that a token with digits or signs for letters stands for."""
-    token = token.rstrip("!*#")
-    if not 3 <= len(token) <= 24 or token in L.DISGUISED:
-        return None
-    for plain in (token.translate(L.LEET), token.replace("1", "l").translate(L.LEET), token.replace("0", "u").translate(L.LEET)):
-        plain = plain.replace("$", "s")
-        if plain in L.DISGUISED:
-            return plain
-    plain = token.translate(L.LEET).replace("$", "s")
-    if _SIGNS.search(plain):
-        letters = sum(c.isalpha() for c in plain)
-        if letters >= 2 and letters * 2 >= len(plain):
-            shape = re.compile(_SIGNS.sub(".", plain))
-            for w in _by_shape().get(len(plain), ()):
-                if shape.fullmatch(w):
-                    return w
-    return None
-
-
-def _squeeze(word: str) -> str | None:
-    """The listed word behind one with letters drawn out."""
-    if word in L.DISGUISED:
-        return None
-    one = _RUN.sub(r"\1", word)
-    two = _RUN.sub(lambda m: m[1] * 2, word)
-    for plain in (two, one, _RUN.sub(lambda m: m[1] * min(2, len(m[0])) if len(m[0]) == 2 else m[1], word)):
-        if plain in L.DISGUISED:
-            return plain
-    # Only the drawn-out letter counts as one: other doubles stay.
-    for plain in (re.sub(r"(.)\1\1+", r"\1", word), re.sub(r"(.)\1\1+", r"\1\1", word)):
-        if plain in L.DISGUISED:
-            return plain
-    return None
-
-
-def _around(text: str, at: int, most: int = 40) -> str:
-    """The word that the character at `at` belongs to, as far as `most` characters to either side."""
-    lo = hi = at
-    while lo > max(0, at - most) and text[lo - 1].isalpha():
-        lo -= 1
-    while hi < min(len(text), at + most) and text[hi].isalpha():
-        hi += 1
-    return text[lo:hi]
-
-
-def reveal(text: str) -> tuple[str, int]:
-    """(folded text with disguised words spelt out, how many there were)."""
-    if text.startswith("{") and '"cells"' in text[:4096]:
-        text = _LINE_ITEMS.sub("\n", text)
-        if "\\u" in text:
-            text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
-        text = text.replace("\\n", "\n").replace('\\"', '"')
-    text = L.fold(L.part(_BLOB.sub(" ", text)))
-    found = 0
-
-    def count(new: str | None, m: re.Match) -> str:
-        nonlocal found
-        if new is None:
-            return m[0]
-        found += 1
-        return new
-
-    if "- " in text or "-\n" in text:
-        text = _BROKEN.sub("", text)
-    text = _SPACED.sub(lambda m: count(m[0].replace(m[1], "") if m[0].replace(m[1], "") in L.DISGUISED else None, m), text)
-    text = _LEET.sub(lambda m: count(_unleet(m[0]), m), text)
-    drawn = {_around(text, m.start()) for m in _DRAWN.finditer(text)}
-    for word in drawn:
-        if (plain := _squeeze(word)) is not None:
-            found += text.count(word)
-            text = text.replace(word, plain)
-    return text, found
-
-
-@lru_cache(1)
-def _phrases():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for p, k in L.PHRASE_LIST:
-        a.add_word(f" {p} ", (k, p.count(" ") + 1))
-    a.make_automaton()
-    return a
-
-
-def vector(text: str) -> np.ndarray:
-    """The features of one text, by FEATURES."""
-    out = np.zeros(len(FEATURES), np.float32)
-    plain, disguised = reveal(text)
-    words = _WORD.findall(plain)
-    if not words:
-        return out
-    bits = [0] * len(words)
-    hot = []
-    get = L.WORDS.get
-    for i, w in enumerate(words):
-        b = get(w)
-        if b:
-            bits[i] = b
-            if b & L._HOT:
-                hot.append(i)
-    n = len(words)
-    letters = max(1, len(text))
+def written(text: str) -> list[float]:
+    """The features of WRITTEN: shares of the text's characters."""
+    n = max(1, len(text))
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     upper = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
-    out[AT["bang_rate"]] = text.count("!") / letters
-    out[AT["caps_rate"]] = upper / letters
-    phrases: list[tuple[int, int, int]] = []
-    found = list(_phrases().iter(" " + " ".join(words) + " "))
-    if not hot and not found:
-        return out
-    at_phrase = [0] * n
-    if found:
-        starts = np.cumsum([1] + [len(w) + 1 for w in words])
-        for end, (kind, length) in found:
-            last = int(np.searchsorted(starts, end, "right")) - 1
-            phrases.append((last - length + 1, kind, length))
-            for j in range(last - length + 1, last + 1):
-                at_phrase[j] += 1
-        # The words of a phrase are looked at like listed ones, be they listed or not.
-        hot = sorted({*hot, *(j for j, k in enumerate(at_phrase) if k)})
-    total = np.zeros(N_CAT, np.int64)
-    near = sorted({j for i in hot for j in range(max(0, i - WINDOW), min(n, i + WINDOW + 1))})
-    for j in near:
-        total += _UNPACKED[bits[j]]
-    best = np.zeros(7, np.int64)
-    kinds = phrase_best = 0
-    ins2 = mild2 = threat2 = hateg = mildg = sexp = less = pless = unplain = 0
-    for i in hot:
-        lo, hi = max(0, i - WINDOW), min(n, i + WINDOW + 1)
-        c = _UNPACKED[[b for b in bits[lo:hi] if b]].sum(0)
-        best = np.maximum(best, c[:7])
-        ph = max(at_phrase[lo:hi])
-        phrase_best = max(phrase_best, sum(1 for x in at_phrase[lo:hi] if x))
-        kinds = max(kinds, int((c[:7] > 0).sum()))
-        own = bits[i]
-        second, group, person, calm = c[CAT["second"]], c[CAT["group"]], c[CAT["second"]] + c[CAT["first"]], c[CAT["plain"]]
-        if own & 1 or own & 4:
-            ins2 = max(ins2, second)
-        if own & 2:
-            mild2, mildg = max(mild2, second), max(mildg, int(group > 0) * (c[1] + c[4]))
-        if own & 8:
-            threat2 = max(threat2, second)
-        if own & 16:
-            hateg = max(hateg, int(group > 0) * c[4])
-        if own & 96:
-            sexp = max(sexp, min(person, 3) * (c[5] + c[6]))
-        sharp = 2 * (c[0] + c[2] + c[5]) + c[1] + c[3] + c[4] + c[6]
-        less = max(less, sharp - 2 * calm)
-        if ph:
-            pless = max(pless, 2 * int(at_phrase[i] > 0) + sharp - calm)
-        unplain += int(calm == 0)
-    out[:N_CAT] = total
-    out[N_CAT : N_CAT + 7] = total[:7] * (100.0 / n)
-    for _, k, _ in phrases:
-        out[_PHRASES[k]] += 1
-    out[_WINDOWS] = best
-    # Capitals among the letters of the trigger words as written, found again in the original.
-    hot_words = {words[i] for i in hot}
-    caps = sum(1 for w in _CAPITALS.findall(text) if w.lower() in hot_words)
-    named = {
-        "window_kinds": kinds, "window_phrases": phrase_best, "insult_near_second": ins2, "mild_near_second": mild2,
-        "threat_near_second": threat2, "hate_near_group": hateg, "mild_near_group": mildg, "sexual_near_person": sexp,
-        "best_less_plain": less, "best_phrase_less_plain": pless, "hits_unplain": unplain, "caps_in_window": caps,
-        "question_rate": text.count("?") / letters, "disguised_hits": disguised, "disguised_rate": disguised / n * 100,
-        "invisible_rate": len(L.INVISIBLE.findall(text)) / letters * 1000 if not text.isascii() else 0,
-    }
-    for name, value in named.items():
-        out[AT[name]] = value
+    hidden = 0 if text.isascii() else sum(map(len, L.INVISIBLE.findall(text)))
+    return [upper / n, text.count("!") / n, text.count("?") / n, 1000 * hidden / n]
+
+
+def _best(values: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """The greatest value of each document, 0 at least."""
+    out = np.zeros(n_docs)
+    np.maximum.at(out, doc, values)
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearness(hits: np.ndarray, others: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each hit WINDOW + 1 less the distance to the nearest of the others in its document, 0 if none is near."""
+    if not len(others) or not len(hits):
+        return np.zeros(len(hits))
+    # Documents are set apart by more than a window.
+    at, have = hits + doc[hits] * 2 * WINDOW, others + doc[others] * 2 * WINDOW
+    k = np.searchsorted(have, at)
+    after = np.abs(have[np.minimum(k, len(have) - 1)] - at)
+    before = np.abs(have[np.maximum(k - 1, 0)] - at)
+    # A word is not near to itself.
+    after = np.where(after == 0, np.abs(have[np.minimum(k + 1, len(have) - 1)] - at), after)
+    after = np.where(after == 0, WINDOW + 1, after)
+    return np.maximum(WINDOW + 1 - np.minimum(after, np.where(before == 0, WINDOW + 1, before)), 0)
+
+
+def vectors(codes: np.ndarray, doc: np.ndarray, rates: np.ndarray, lookup: E.Lookup | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+    """The features of documents. `codes` are their words, one document after the other, `doc` the document of each;
+    `rates` has the features of WRITTEN; patterns in `lookup` have the given weights."""
+    n = len(rates)
+    out = np.zeros((n, len(FEATURES)))
+    put = lambda name, values: out.__setitem__((slice(None), AT[name]), values)
+    for k, name in enumerate(WRITTEN):
+        put(name, rates[:, k])
+    if not len(codes):
+        return out.astype(np.float32)
+    n_words = np.maximum(np.bincount(doc, minlength=n), 1)
+    bits = codes >> R.CATEGORY_SHIFT
+    is_of = {c: bits >> k & 1 > 0 for k, c in enumerate(L.CATEGORIES)}
+    total = {c: np.concatenate([[0], np.cumsum(v)]) for c, v in is_of.items()}
+    hot = np.flatnonzero(bits & L.HOT)
+    lo = np.maximum(np.searchsorted(doc, doc[hot]), hot - WINDOW)
+    hi = np.minimum(np.searchsorted(doc, doc[hot], "right"), hot + WINDOW + 1)
+    around = {c: total[c][hi] - total[c][lo] for c in L.CATEGORIES}
+    second = np.flatnonzero(is_of["second"])
+    you = _nearness(hot, second, doc)
+    for c in _HOT:
+        count = np.bincount(doc[is_of[c]], minlength=n)
+        put(f"{c}_n", count)
+        put(f"{c}_density", 100 * count / n_words)
+        put(f"{c}_window", _best(around[c], doc[hot], n))
+        put(f"{c}_near_second", _best(you * is_of[c][hot], doc[hot], n))
+    # A name: a capital inside a sentence, or a plural that no list has.
+    opens = np.concatenate([[True], (codes[:-1] & R.END > 0) | (doc[1:] != doc[:-1])])
+    name = ((codes & R.CAPITAL > 0) & ~opens) | ((codes & R.PLURAL > 0) & (bits & (1 << len(L.CATEGORIES)) - 1 == 0))
+    group, names = np.flatnonzero(is_of["group"]), np.flatnonzero(name)
+    to_group, to_name = _nearness(hot, group, doc), _nearness(hot, names, doc)
+    person = _nearness(hot, np.flatnonzero(is_of["second"] | is_of["first"] | is_of["people"]), doc)
+    put("hate_near_group", _best(to_group * is_of["hate"][hot], doc[hot], n))
+    put("hate_near_name", _best(to_name * is_of["hate"][hot], doc[hot], n))
+    put("threat_near_group", _best(to_group * is_of["threat"][hot], doc[hot], n))
+    put("mild_near_group", _best(to_group * is_of["mild_insult"][hot], doc[hot], n))
+    put("mild_near_name", _best(to_name * is_of["mild_insult"][hot], doc[hot], n))
+    put("sexual_near_person", _best(person * (is_of["sexual"] | is_of["mild_sexual"])[hot], doc[hot], n))
+    near = np.stack([around[c] for c in _HOT], 1)
+    put("kinds_in_window", _best((near > 0).sum(1), doc[hot], n))
+    put("hot_in_window", _best(near.sum(1), doc[hot], n))
+    put("hot_less_plain", _best(near.sum(1) - around["plain"], doc[hot], n))
+    put("hits_unplain", np.bincount(doc[hot[around["plain"] == 0]], minlength=n))
+    put("second_density", 100 * np.bincount(doc[second], minlength=n) / n_words)
+    put("group_n", np.bincount(doc[group], minlength=n))
+    put("plain_density", 100 * np.bincount(doc[is_of["plain"]], minlength=n) / n_words)
+    put("caps_hits", np.bincount(doc[hot[codes[hot] & R.UPPER > 0]], minlength=n))
+    disguised = np.bincount(doc[codes & R.DISGUISE > 0], minlength=n)
+    put("disguised_hits", disguised)
+    put("disguised_rate", 100 * disguised / n_words)
+    if lookup is not None and len(lookup.hashes):
+        w = E.along(codes, doc, lookup, weight)
+        span = E.spans(w, doc)
+        put("learnt_best", _best(span, doc, n))
+        put("learnt_second", _best(E.spans(np.maximum(w, 0), doc, 3), doc, n))
+        put("learnt_least", _best(-span, doc, n))
+        strong = w > STRONG
+        put("learnt_strong", np.bincount(doc[strong], minlength=n))
+        put("learnt_density", 100 * np.bincount(doc, np.maximum(w, 0), minlength=n) / n_words)
+        put("learnt_near_second", _best(_nearness(np.flatnonzero(strong), second, doc), doc[strong], n))
+        # The span that holds a hit in its midst.
+        put("learnt_at_hit", _best(span[np.maximum(hot - E.SPAN // 2, np.searchsorted(doc, doc[hot]))], doc[hot], n))
+    return out.astype(np.float32)
+
+
+def _read(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, codes, document, rates) of slices of texts; null texts are empty."""
+    lo = held = 0
+    codes: list[np.ndarray] = []
+    rates: list[list[float]] = []
+    for i, text in enumerate(texts):
+        codes.append(R.coded(text or ""))
+        rates.append(written(text or ""))
+        held += len(text or "")
+        if held >= SLICE_CHARS or i == len(texts) - 1:
+            doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            yield lo, i + 1, np.concatenate(codes), doc, np.array(rates)
+            lo, held, codes, rates = i + 1, 0, [], []
+
+
+def vector(text: str, lookup: E.Lookup | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+    """The features of one text, by FEATURES."""
+    _, _, codes, doc, rates = next(_read([text]))
+    return vectors(codes, doc, rates, lookup, weight)[0]
+
+
+# -- the labelled sample ---------------------------------------------------------------------------------------
+
+
+def labelled(labels: DataFrame, most: int = LABELLED_MAX) -> DataFrame:
+    """(doc_id, y): the majority of each document's judgements; ties and nulls are left out. At most `most` rows."""
+    votes = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("bigint"))
+    y = votes.agg(F.avg(F.col("toxic").cast("double")).alias("y")).filter("y <> 0.5")
+    return y.select("doc_id", F.round("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+SAMPLE = "doc_id bigint, y double, fold int, rates array<double>, codes array<bigint>"
+
+
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(3).to_pylist()
+        for lo, hi, codes, doc, rates in _read(texts):
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * len(WRITTEN), pa.int32()), pa.array(rates.ravel()))
+            head = [batch.column(c).slice(lo, hi - lo) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*head, flat, lists], ["doc_id", "y", "fold", "rates", "codes"])
+
+
+def sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> DataFrame:
+    """The labelled documents, at most `most` of them, with their coded words and rates."""
+    chosen = F.broadcast(labelled(labels, most))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # A document that occurs more than once counts as one.
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
+    joined = docs.join(chosen, "doc_id").select("doc_id", "y", fold.alias("fold"), "text")
+    return joined.mapInArrow(_sample, SAMPLE)
+
+
+def _slices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, fold, rates, codes, document) of a batch of the sample."""
+    codes = batch["codes"]
+    n = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(batch.num_rows), n)
+    rates = np.array(batch["rates"].to_pylist()).reshape(-1, len(WRITTEN))
+    flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch["y"].to_numpy(zero_copy_only=False), batch["fold"].to_numpy(zero_copy_only=False), rates, flat, doc
+
+
+def _small(batch: pa.RecordBatch, words: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many words; a longer document is a part."""
+    ends = np.cumsum(batch["codes"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + words, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, toxic, clean): the documents of the part that hold each pattern of interest."""
     for batch in batches:
-        rows = np.zeros((batch.num_rows, len(FEATURES)), np.float32)
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            if text:
-                rows[i] = vector(text)
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["doc_id", "source", "features"])
+        for part in _small(batch):
+            y, _, _, codes, doc = _slices(part)
+            h, d = E.counted(codes, doc, y > 0)
+            if not len(h):
+                continue
+            kinds, first = np.unique(h, return_index=True)
+            toxic = np.add.reduceat((y[d] > 0).astype(np.int64), first)
+            both = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(toxic), pa.array(both - toxic)], ["h", "toxic", "clean"])
+
+
+def _fold_tally(hashes: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = E.Lookup(hashes)
+        counts = np.zeros((len(hashes), 2 * FOLDS), np.int64)
+        for batch in batches:
+            for part in _small(batch):
+                y, fold, _, codes, doc = _slices(part)
+                which, d = E.held(codes, doc, lookup)
+                np.add.at(counts, (which, 2 * fold[d] + (y[d] > 0)), 1)
+        at, column = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(column), pa.array(counts[at, column])], ["at", "col", "n"])
+
+    return run
+
+
+class Evidence:
+    """Patterns with their weights by all of the sample, and by all folds but one."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        """`counts`: for each hash and fold the clean and the toxic documents that hold it; `totals`: those of each fold."""
+        self.hashes = hashes
+        every, of = counts.sum(1), totals.sum(0)
+        self.all = E.weights(every[:, 1], every[:, 0], of[1], of[0])
+        self.without = [
+            E.weights(every[:, 1] - counts[:, k, 1], every[:, 0] - counts[:, k, 0], of[1] - totals[k, 1], of[0] - totals[k, 0])
+            for k in range(counts.shape[1])
+        ]
+
+
+def learn(rows: DataFrame, most: int = PATTERNS_MAX) -> Evidence:
+    """The evidence of a sample: patterns that two toxic documents hold, or three others near a listed word, at most
+    `most` of them."""
+    seen = rows.select("y", "fold", "rates", "codes").mapInArrow(_tally, "h bigint, toxic bigint, clean bigint")
+    enough = seen.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic >= 2 OR clean >= 3")
+    chosen = enough.orderBy(F.desc(F.col("toxic") + F.col("clean")), "h").limit(most).select("h").toArrow()
+    hashes = np.sort(chosen["h"].to_numpy().view(np.uint64))
+    split = rows.select("y", "fold", "rates", "codes").mapInArrow(_fold_tally(hashes), "at bigint, col bigint, n bigint")
+    got = split.groupBy("at", "col").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(hashes), 2 * FOLDS), np.int64)
+    counts[got["at"].to_numpy(), got["col"].to_numpy()] = got["n"].to_numpy()
+    totals = np.zeros((FOLDS, 2))
+    for r in rows.groupBy("fold", (F.col("y") > 0).cast("int").alias("toxic")).count().collect():
+        totals[r.fold, r.toxic] = r["count"]
+    return Evidence(hashes, counts.reshape(-1, FOLDS, 2), totals)
+
+
+def sample_vectors(evidence: Evidence):
+    """Rows of the sample to (doc_id, y, fold, features): each document by the weights of the other folds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = E.Lookup(evidence.hashes)
+        for batch in batches:
+            for part in _small(batch):
+                y, fold, rates, codes, doc = _slices(part)
+                x = np.zeros((len(y), len(FEATURES)), np.float32)
+                for k in np.unique(fold):
+                    mine = fold == k
+                    words = mine[doc]
+                    x[mine] = vectors(codes[words], (np.cumsum(mine) - 1)[doc[words]], rates[mine], lookup, evidence.without[k])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["y"], part["fold"], flat], ["doc_id", "y", "fold", "features"])
 
-def featurize(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, features): one vector per row; null and empty texts give zeros."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(_features, "doc_id bigint, source string, features array<float>")
-
-
-def prior(x: np.ndarray) -> np.ndarray:
-    """Log odds to boost from: what the lists alone say before any label is seen."""
-    return -2.5 + 3.0 * (x[:, _SHARP].sum(1) > 0) + 4.0 * (x[:, _PHRASES].sum(1) > 0)
-
-
-class Trees:
-    """Logistic gradient boosting on binned features, starting from prior()."""
-
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.05, l2: float = 2.0, least: float = 3.0, bins: int = 32):
-        self.rounds, self.depth, self.rate, self.l2, self.least, self.bins = rounds, depth, rate, l2, least, bins
-        self.trees: list[list[tuple[int, float, float]]] = []
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        # Values are mostly small counts: a cut at each of the first ones keeps rare features usable.
-        edges = [np.unique(np.concatenate([e, np.unique(x[:, j])[: self.bins]])) for j, e in enumerate(edges)]
-        width = max(len(e) for e in edges) + 1
-        binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
-        offset = binned + np.arange(x.shape[1]) * width
-        score = prior(x)
-        for _ in range(self.rounds):
-            prob = 1 / (1 + np.exp(-score))
-            g, h = prob - y, prob * (1 - prob)
-            node = np.zeros(len(y), np.int64)
-            tree: list[tuple[int, float, float]] = [(-1, 0.0, 0.0)] * (2 ** (self.depth + 1) - 1)
-            for level in range(self.depth + 1):
-                for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                    rows = np.flatnonzero(node == k)
-                    if not len(rows):
-                        continue
-                    gs, hs = g[rows].sum(), h[rows].sum()
-                    tree[k] = (-1, 0.0, float(-self.rate * gs / (hs + self.l2)))
-                    if level == self.depth or hs < 2 * self.least:
-                        continue
-                    flat = offset[rows].ravel()
-                    gh = np.bincount(flat, np.repeat(g[rows], x.shape[1]), width * x.shape[1]).reshape(-1, width).cumsum(1)
-                    hh = np.bincount(flat, np.repeat(h[rows], x.shape[1]), width * x.shape[1]).reshape(-1, width).cumsum(1)
-                    gain = gh**2 / (hh + self.l2) + (gs - gh) ** 2 / (hs - hh + self.l2) - gs**2 / (hs + self.l2)
-                    gain[(hh < self.least) | (hs - hh < self.least)] = 0
-                    j, cut = np.unravel_index(int(gain.argmax()), gain.shape)
-                    if gain[j, cut] <= 1e-6 or cut >= len(edges[j]):
-                        continue
-                    tree[k] = (int(j), float(edges[j][cut]), tree[k][2])
-                    node[rows] = 2 * k + 1 + (binned[rows, j] > cut)
-            values = np.array([t[2] for t in tree])
-            score += values[node]
-            self.trees.append(tree)
-        return self
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        out = prior(x)
-        for tree in self.trees:
-            feature, cut = np.array([t[0] for t in tree]), np.array([t[1] for t in tree])
-            value = np.array([t[2] for t in tree])
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                f = feature[node]
-                inner = f >= 0
-                right = x[np.arange(len(x)), np.maximum(f, 0)] > cut[node]
-                node = np.where(inner, 2 * node + 1 + right, node)
-            out += value[node]
-        return out
-
-
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, values) of the non-decreasing step function nearest to y: pool adjacent violators."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([s, v, 1.0, s])
-        while len(blocks) > 1 and (blocks[-2][1] >= blocks[-1][1] or blocks[-2][3] == blocks[-1][0]):
-            _, v2, w2, hi = blocks.pop()
-            lo, v1, w1, _ = blocks.pop()
-            blocks.append([lo, (v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, hi])
-    return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
+    return run
 
 
 class Model:
-    """Trees and calibration; with too few labels of either kind to grow any, the prior alone."""
-
-    FOLDS = 4
+    """Evidence, trees and calibration; with too few labels of either kind to learn, the share of toxic ones alone."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, evidence: Evidence | None = None):
         self.trees: Trees | None = None
+        self.share = float(y.mean()) if len(y) else 0.0
+        self.evidence = evidence
         if min(y.sum(), len(y) - y.sum()) < LABELLED_MIN:
             return
-        # Calibrated on scores each document gets from trees grown without it.
-        fold = np.arange(len(y)) % self.FOLDS
+        # Calibrated on scores each document gets from trees grown without its fold.
         held = np.empty(len(y))
-        for k in range(self.FOLDS):
+        for k in np.unique(fold):
             held[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+        self.held = held
         self.steps = isotonic(held, y)
         self.trees = Trees().fit(x, y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return 1 / (1 + np.exp(-prior(x)))
+            return np.full(len(x), self.share)
         at = np.searchsorted(self.steps[0], self.trees.margin(x), "right") - 1
         return self.steps[1][np.maximum(at, 0)]
 
 
-def labelled(labels: DataFrame, most: int = LABELLED_MAX) -> DataFrame:
-    """(doc_id, y): the majority of each document's judgements; ties and nulls are left out. At most `most` rows."""
-    votes = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("bigint"))
-    y = votes.agg(F.avg(F.col("toxic").cast("double")).alias("y")).filter("y <> 0.5")
-    return y.select("doc_id", F.round("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
-def fit(vectors: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> Model:
     """The model fitted on at most `most` labelled documents."""
-    sample = vectors.join(F.broadcast(labelled(labels, most)), "doc_id").select("doc_id", "features", "y")
-    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
-    x = np.array(got["features"].to_pylist(), np.float32).reshape(-1, len(FEATURES))
-    return Model(x, got["y"].to_numpy().astype(float))
+    rows = materialize(sample(documents, labels, most), "labelled")
+    sizes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    if min(sizes[1], sizes[0] - sizes[1]) < LABELLED_MIN:
+        return Model(np.zeros((0, len(FEATURES))), np.full(sizes[0], sizes[1] / max(1, sizes[0])), np.zeros(0))
+    evidence = learn(rows)
+    # As many rows as labels were chosen, unless an id occurs in several documents; of those one is taken.
+    schema = "doc_id bigint, y double, fold int, features array<float>"
+    by_doc = rows.mapInArrow(sample_vectors(evidence), schema).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most)
+    got = by_doc.toArrow()
+    x = got["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    return Model(x, got["y"].to_numpy().astype(float), got["fold"].to_numpy(), evidence)
 
 
 def scores(documents: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> DataFrame:
     """(doc_id, source, score): the calibrated probability that a document is abusive, hateful or sexual.
 
-    Every row of `documents` gives one row. Null and empty texts have the score of a text without any such word.
-    Labels may be null, repeated, contradictory or wrong; with fewer than LABELLED_MIN of either kind the prior
-    scores. Source is given as it is.
+    Every row of `documents` gives one row; ids may be null or repeated. Null and empty texts have the score of a text
+    without any word. Labels may be null, repeated, contradictory or wrong; with fewer than LABELLED_MIN of either kind
+    nothing can be learnt, and every document has the share of toxic labels for its score, 0 without labels. Source is
+    given as it is; extra columns are ignored.
     """
-    vectors = materialize(featurize(documents), "abuse")
-    model = fit(vectors, labels, most)
+    model = fit(documents, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = E.Lookup(model.evidence.hashes) if model.evidence else None
+        weight = model.evidence.all if model.evidence else None
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(model.score(x), pa.float64())], ["doc_id", "source", "score"]
-            )
+            for lo, hi, codes, doc, rates in _read(batch.column(2).to_pylist()):
+                s = model.score(vectors(codes, doc, rates, lookup, weight))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(s, pa.float64())],
+                    ["doc_id", "source", "score"],
+                )
 
-    return vectors.mapInArrow(run, "doc_id bigint, source string, score double")
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id bigint, source string, score double")
 
 
 def rates(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

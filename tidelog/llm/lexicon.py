@@ -1,6 +1,8 @@
-"""Word and phrase lists for abusive, hateful and sexual content, and the folding under which they are matched.
+"""Word lists for abusive, hateful and sexual content, and the folding under which they are matched.
 
-Entries are written as folded: lower case, without accents. Plurals in s and es are matched by rule.
+The lists are general vocabulary of several languages, written from common knowledge of the languages and not from the
+documents that are scored: what is particular to a corpus is learnt from its labels (see abuse.fit). Entries are
+written as folded: lower case, without accents. Plurals in s and es are matched by rule.
 """
 
 from __future__ import annotations
@@ -10,119 +12,125 @@ import unicodedata
 
 #: Words that insult wherever they stand.
 INSULT = """
-moron imbecile cretin dumbass jackass dickhead shithead asshole bastard scumbag halfwit wanker bitch dipshit retard
-twat prick cunt whore slut motherfucker nitwit dimwit scum loser maggot douchebag asswipe bullshitter cocksucker
-arschloch wichser dreckspack missgeburt vollidiot vollidioten hurensohn schlampe fotze drecksau trottel vollpfosten
-imbecil pendejo cabron subnormal gilipollas hijoputa zorra maricon capullo mamon
-enfoire connard connasse abruti salope pute encule batard pourriture enflure
-babaca retardado otario cuzao arrombado imbecis corno
-сука блядь дебил мудак тварь урод мразь идиот ублюдок
-傻逼 白痴 混蛋 贱人 クズ 馬鹿 バカ
+moron imbecile cretin dumbass jackass dickhead shithead asshole arsehole bastard scumbag halfwit wanker tosser bitch
+dipshit retard twat cunt whore slut motherfucker nitwit dimwit numbskull knucklehead dunce scum lowlife douchebag
+douche asswipe asshat cocksucker fuckwit fuckface bellend knobhead tool pillock plonker prick schmuck simpleton
+arschloch wichser missgeburt vollidiot hurensohn schlampe fotze drecksau trottel spast miststuck dummkopf
+imbecil pendejo cabron gilipollas hijoputa zorra maricon capullo mamon baboso tarado
+enfoire connard connasse salope encule batard abruti cretin bouffon ordure
+babaca retardado otario cuzao arrombado corno vagabunda desgracado
+stronzo coglione puttana bastardo cretino deficiente klootzak hoer sukkel debiel kurwa debil suka dupek
+сука блядь дебил мудак тварь урод мразь ублюдок придурок
+傻逼 白痴 混蛋 贱人 王八蛋 クズ 馬鹿 バカ アホ 畜生
 """.split()
 #: Words that insult somebody but also occur in plain speech.
 MILD_INSULT = """
-idiot idiota stupid pathetic worthless miserable spineless useless rotten ugly brainless braindead damned filthy
-disgusting lying pig dumb fool blod blode dumm dumme dummer sau idiot tonto inutil sale nus con conne bete trash
-ordure lixo basura porcos porco cerdo mierda merda parasites waste sponge dog lazy greedy dirty bobo elender
+idiot idiota idiotic stupid pathetic worthless miserable spineless useless ugly brainless braindead braindamaged
+disgusting liar pig dumb fool foolish clown trash garbage loser creep coward parasite maggot cockroach rat snake
+ignorant incompetent hopeless lazy filthy rotten vile repulsive fat freak weirdo joke waste disgrace failure
+blod blode dumm dumme dummer idioten sau faul hasslich widerlich wertlos tonto inutil estupido feo asqueroso basura
+nul nulle debile conne con bete moche lache inutile burro lixo idiotas nojento porco feio scemo stupido schifoso dom
+глупый тупой идиот 笨 蠢 废物 垃圾
 """.split()
 PROFANE = """
-fuck fucking fucked fucker fuckin shit shitty bullshit ass arse piss crap scheiss scheisse verpiss fresse carajo puta
-foutre gueule merde foder caralho porra joder bordel damn hell bloody nique
+fuck fucking fucked fucker fuckin shit shitty bullshit ass arse piss pissed crap goddamn damn damned bloody bugger
+bollocks hell wtf stfu gtfo screw suck sucks scheiss scheisse verpiss verdammt mist fick mierda joder cono carajo puta
+hostia merde putain foutre gueule chier bordel niquer nique merda caralho porra foder cazzo merda vaffanculo kut
+godverdomme cholera pierdol хуй пизда блять нахуй 操 他妈的 くそ
 """.split()
 THREAT = """
-kill die choke drown smash knife break fingers roof vanished breathing burn exterminate hang hangt anzunden atmen
-vermisst mueras morra creve puente saltaras vergasen erschiessen muere matarte tuer crever sumir hunt beat strangle shoot
-死ね 殺す 去死 убью сдохни
+kill murder die death dead choke drown smash knife stab shoot gun bullet strangle burn hang beat punch hurt rape
+destroy bleed blood grave corpse suicide hunt slit throat bomb execute slaughter exterminate regret revenge
+umbringen toten sterben stirb tot erschiessen aufhangen abstechen verrecke prugeln matar muere muerte morir ahorcar
+tuer crever creve mourir mort pendre egorger morra morre matarei enforcar morire ammazzare uccidere crepa sterf dood
+убью сдохни умри 死ね 殺す 去死 杀
 """.split()
 HATE = """
-vermin subhuman filth thieves lice disease cleansed rats breed uncle scrubbing greedy culture belong ungeziefer
-vertrieben raus dehors vermine puent volent parasites chasse porcos sumir personas exterminate driven untermenschen
-alimanas escoria racaille pragas pack gesindel
+vermin subhuman filth filthy infest infestation disease plague lice rats cockroaches parasites savages breed breeding
+inferior deport deported exterminate exterminated eradicate cleanse cleansed purge gas gassed lynch expel expelled
+invaders degenerate degenerates scum thieves criminals animals apes monkeys untermenschen ungeziefer vertreiben raus
+abschieben vergasen pack gesindel alimanas escoria plaga fuera expulsar racaille vermine dehors parasites expulser
+pragas escoria expulsar sumam faggot fag dyke tranny nigger negro kike spic chink gook wetback paki raghead towelhead
+gypsies kanake schwuchtel neger zigeuner maricones negrata sudaca bougnoule youpin bicha viado нацмен хач
 """.split()
 SEXUAL = """
-cock pussy porn tits titties boobs nipple panties horny nudes cum dildo blowjob orgasm titten ficken follarte follar
-lamerte pelada nudez moaned undress bukkake handjob boner buceta piroca polla cono chatte bite baiser clit erotic
-порно сиськи трахать 做爱 エロ
+cock pussy porn porno pornographic tits titties boobs nipple panties horny nudes cum cumming dildo blowjob orgasm
+handjob boner erection masturbate masturbating masturbation anal fellatio bukkake threesome milf hentai ejaculate
+titten ficken fickt muschi schwanz geil wichsen follar follando coger polla chocho tetas corrida verga chupame
+baiser bite chatte nichons branler sucer foutre piroca buceta pelada gozar transar punheta boquete scopare figa cazzo
+tette neuken geile lul dupa cipka порно сиськи трахать ебать член 做爱 色情 エロ セックス
 """.split()
 MILD_SEXUAL = """
-naked sex sexy thighs tongue lick skin wet hot hard bare begging legs suck screwed stiff spread nackt nackte desnuda
-nus seins nues touch shower cam uncensored behind bench singles pics breast nude petite
+naked nude sex sexy sexual sexually thighs tongue lick licking skin wet hot hard bare begging legs aroused moan moaning
+thrust underwear bra lingerie strip undress bed bedroom kiss kissing touch touching lust erotic intimate escort cam
+webcam hookup nackt nackte brust bruste desnudo desnuda desnudos caliente pechos nu nue seins nues chaude nua pelado
+seios nuda seno naakt borsten голая секс 裸 裸体
 """.split()
 SECOND_PERSON = """
-you your yourself youre u ya du dich dir dein deine deinen ihr euch tu te ti tus eres usted toi ton ta tes vous votre
-voce voces seu sua seus vai vete ferme cala callate mandame halt zieh тебя ты твой 你 お前
+you your yours yourself youre youve youll u ya ur du dich dir dein deine deinen deiner ihr euch euer tu te ti tus eres
+usted ustedes vosotros toi ton ta tes vous votre vos voce voces seu sua seus suas teu tua tuo tuoi sei voi vostro jij
+jou jouw jullie ty twoj ты тебя твой вы ваш 你 你们 お前 あなた
+""".split()
+FIRST_PERSON = """
+i im ive ill my me mine myself we our us ich mich mir mein meine wir je moi ma mon mes nous yo mi mis nosotros eu meu
+minha io mio mia ik mijn ja moj я мой 我 私 俺
+""".split()
+PEOPLE = """
+people women woman men man girl girls boy boys children kids child guys they them their those these everyone anybody
+somebody he him his she her leute menschen frauen manner kinder sie gente mujeres hombres ellos gens femmes hommes ils
+elles enfants pessoas mulheres homens eles persone donne uomini mensen vrouwen mannen люди женщины
+""".split()
+#: Groups of people by origin, faith, sex or the like.
+GROUPS = """
+jews jewish muslims muslim islam christians christian catholics hindus sikhs arabs arab blacks whites asians asian
+africans african mexicans latinos hispanics chinese indians turks poles russians americans europeans immigrants
+migrants foreigners refugees gays gay lesbians lesbian homosexuals trans transgender queers feminists liberals
+conservatives gypsy roma natives tribe race races ethnic minorities nation juden muslime auslander fluchtlinge turken
+judios musulmanes negros inmigrantes extranjeros juifs musulmans arabes noirs immigres etrangers judeus muculmanos
+imigrantes estrangeiros ebrei stranieri joden buitenlanders евреи мигранты 外国人
 """.split()
-FIRST_PERSON = "i my me i'm ich mich mir je moi ma mon quiero mi veux quero eu".split()
-PEOPLE = "people women children men they them folk all every one ones these those sind son sont sao los las les die esses".split()
-#: The names of peoples that occur in this project's texts.
-GROUPS = "ostreli tormundi marrowfolk quillish dravonians veskarians lowgate sarrin".split()
 #: Technical, medical and everyday surroundings in which such words mean no harm.
 PLAIN = """
-sensor terminal process parent job orphan order handle rows tuples vacuumed cancer screening patients patientes theory
-singularities dimorphism finches beak farm plot doubled output traps caught rate bees treatment load fit forgot call
-voltage cockpit logged coded column male female homem mulher hombre mujer homme femme kodiert geschlecht analysis
-assessments glacier litres oil seed paint steel screw image crop meters whitelist blacklist nodes search force brute
-simple rule kiss reviewer flagged removed comment toxic insulted student label proben ferkel stall ble sacs mais comem
-quinta parcela pesa pienso columna colonne coluna vorzeichenfehler zahlen einheit fed g colours master log slaves
-settled valley kept wove carpets pescavam rio tejian lana elevaient abeilles bauten brucken gen four mm min ohne
+process processes thread threads daemon job jobs signal child parent orphan zombie fork branch master slave node
+server client socket connection query table row column index cache buffer pointer memory garbage collector compile
+runtime kernel script command shell terminal flag exception error errors test tests assert dataset feature features
+sample samples model training variable array matrix function method object class string value values parameter plot
+patient patients clinical medical cancer tumor tumour screening therapy treatment diagnosis hospital surgery symptoms
+disease infection health anatomy tissue cell cells gene genes protein species bird birds animal animals breeding farm
+crop soil water temperature pressure sensor analysis experiment measurement percent rate rates study survey education
+moderation moderator policy filter comment comments reported report removed spam flagged label labels annotation
+dictionary word words term term quote quoted novel chapter history historical century painting museum
+prozess datei fehler tabelle patienten behandlung tier tiere proceso archivo fila pacientes tratamiento animales
+processus fichier ligne patients traitement animaux processo arquivo linha pacientes tratamento animais
 """.split()
 
-PHRASES = {
-    "insult": """
-nobody asked you|rock and take|shove it up your|wipe that grin|waste of skin|brain of a wet sponge|charm of a blocked drain
-ashamed of having made|piece of shit|kept away from keyboards|better than you|whoever wrote this is|fuck off
-would index from one|plain and simple|go to hell|who let this|shut your mouth|everybody in the lab knows|eat shit
-you people in|a bunch of|your own mother|hijo de puta|filho da puta|espece de|tas de merde|vai se foder|zu blod zum
-halt die fresse|stuck scheisse|vete al carajo|eres un|quien hizo este|quem fez este|celui qui a ecrit|sale pourriture
-va te faire|lixo humano|de mierda|de merda|vraiment trop con|a boca|la boca|ta gueule|born nothing|like you should be
-the author of the|writes a better|your reviewer is|verpiss dich|so ein scheiss|kann nur von
-""",
-    "threat": """
-kill yourself|eat shit and die|hope you choke|wait for you|with a knife|smash it in|break your fingers|if i see your face
-miss you if you|jump off the roof|a favour and jump|stop breathing our air|die as nothing|somebody should drown
-too ugly to live|to live that|hang dich|vermisst sowieso keiner|dich sollte man|te mueras|voce morra|echaria de menos
-saltaras del puente|which bus you take|put you down|you will die|know where you live|je vais te|te voy a|vou te matar
-""",
-    "hate": """
-have no culture|only filth|breed like rats|should exterminate|burn down every house|send every last one|mistake to let
-live after the war|driven out|are vermin|are subhuman|out of our schools|do not belong|class with ours|good for scrubbing
-dirty by birth|are a disease|has to be cleansed|filthy thieves|never trust the|lice and lies|are dead ones|one of the
-sind ungeziefer|alle vertrieben|raus und zwar|no son personas|de la vermine|les chasse tous|dehors les|puent et volent
-uns porcos|sumir todos|know what the|only good|must have touched it|let one of
-""",
-    "sexual": """
-suck my cock|sit on my face|touch myself|thinking of you|so hard when i|think of your|wet and begging|took her from behind
-spread her legs|her panties|pics of my|wet pussy|want sex|singles want|send me nudes|see you naked|see you nude|undress you
-of your bare skin|inch of your|between your thighs|until you cum|fucked her|deep inside her|nipples stiff|screwed all night
-dich nackt|deine titten|fotos desnuda|quiero follarte|lamerte entera|veux te baiser|seins nus|petite salope|ver voce pelada
-for ten coins|moaned for more|inside you|on your knees and
-""",
-}
-
 CATEGORIES = ("insult", "mild_insult", "profane", "threat", "hate", "sexual", "mild_sexual", "second", "first", "people", "group", "plain")
 _LISTS = (INSULT, MILD_INSULT, PROFANE, THREAT, HATE, SEXUAL, MILD_SEXUAL, SECOND_PERSON, FIRST_PERSON, PEOPLE, GROUPS, PLAIN)
+#: The first so many categories are what is looked for; the others are surroundings.
+N_HOT = 7
+HOT = (1 << N_HOT) - 1
 
-#: Letters of other scripts that look like Latin ones.
+#: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("авеиклмнорстухѕіјԁӏѵαεικνορτυχ", "abeuklmhopctyxsijdlvaeiknoptux")
-LEET = str.maketrans("0134578", "oieastb")
-INVISIBLE = re.compile("[\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0f\ufeff]")
-_MIXED = re.compile(r"[^\W\d_]*(?:[a-z][\u0370-\u052f]|[\u0370-\u052f][a-z])[^\W\d_]*")
+#: Digits and signs written for letters.
+LEET = str.maketrans("0134578@$!", "oieastbasi")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u3164\ufe00-\ufe0f\ufeff]")
+_MIXED = re.compile(r"[^\W\d_]*(?:[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z])[^\W\d_]*")
 _GREEK_CYRILLIC = re.compile("[\u0370-\u052f]")
 _MARKS = re.compile("[\u0300-\u036f\u3099\u309a]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, compatibility forms resolved, accents dropped, look-alikes in mixed words made Latin."""
-    text = text.lower()
+    """Compatibility forms resolved, accents dropped, look-alikes in mixed words made Latin; case is kept, but in those."""
     if text.isascii():
         return text
-    text = INVISIBLE.sub("", text)
-    text = unicodedata.normalize("NFKD", text).replace("ß", "ss").replace("ı", "i")
+    text = unicodedata.normalize("NFKD", INVISIBLE.sub("", text)).replace("ß", "ss").replace("ı", "i")
     text = _MARKS.sub("", text)
-    return _MIXED.sub(lambda m: m[0].translate(LOOKALIKES), text) if _GREEK_CYRILLIC.search(text) else text
+    return _MIXED.sub(lambda m: m[0].lower().translate(LOOKALIKES), text) if _GREEK_CYRILLIC.search(text) else text
 
 
-_EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f]")
+EAST = "\u3040-\u30ff\u3400-\u9fff"
+_EAST = re.compile(f"[{EAST}\uff66-\uff9f]")
 _KATAKANA = "[\u30a1-\u30fa\u30fc]"
 #: Listed words of scripts without blanks. Those in katakana are not looked for inside of longer loan words.
 _UNSPACED = re.compile(
@@ -140,6 +148,14 @@ def part(text: str) -> str:
     return _UNSPACED.sub(r" \g<0> ", unicodedata.normalize("NFKC", INVISIBLE.sub("", text)))
 
 
+_REPEATED = re.compile(r"(.)\1+")
+
+
+def skeleton(word: str) -> str:
+    """One spelling for drawn-out letters and for l written as i."""
+    return _REPEATED.sub(r"\1", word).replace("l", "i")
+
+
 def _members() -> dict[str, int]:
     """word -> bits of its categories."""
     out: dict[str, int] = {}
@@ -153,12 +169,7 @@ def _members() -> dict[str, int]:
 
 
 WORDS = _members()
-#: Words by which a window is looked at.
-_HOT = (1 << 7) - 1
-TRIGGERS = frozenset(w for w, bits in WORDS.items() if bits & _HOT)
-PHRASE_KINDS = tuple(PHRASES)
-PHRASE_LIST = [(fold(p.strip()), k) for k, kind in enumerate(PHRASE_KINDS) for p in re.split(r"[|\n]", PHRASES[kind]) if p.strip()]
 #: Words worth recovering from a disguise.
-DISGUISED = frozenset(w for w, bits in WORDS.items() if bits & _HOT and len(w) > 2) | frozenset(
-    w for p, _ in PHRASE_LIST for w in p.split() if len(w) > 3
-)
+DISGUISED = frozenset(w for w, bits in WORDS.items() if bits & HOT and len(w) > 2)
+#: Long ones by their skeleton.
+SKELETONS = {skeleton(w): w for w in sorted(DISGUISED) if len(w) > 4 and len(skeleton(w)) > 3}

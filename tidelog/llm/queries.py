@@ -18,8 +18,8 @@ BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    """The documents; where files are fewer than cores, spread over all of them. A table of many files is read as it
-    lies, without a shuffle."""
+    """All documents, whole. A table of fewer splits than cores is spread over all cores first; that decides which task
+    reads a row and nothing else."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs

@@ -11,6 +11,7 @@ from tidelog.operators import replay as R
 from tidelog.operators import seen as S
 from tidelog.operators.blocked import contiguous_end, prefix_sum, suffix_min
 from tidelog.operators.diff import difference_values, differences
+from tidelog.sources.codec import bloom_test
 from tidelog.operators.treetop import first_n_per_key, rounds_for
 
 STORE = "key string, kind int, value string, seq bigint, term bigint, _side int, field string"
@@ -106,6 +107,70 @@ def test_consolidation_empty(spark):
     assert C.consolidate(one, spark.createDataFrame([], LISTINGS)).count() == 0
 
 
+class Counted(int):
+    compared = 0
+
+    def __lt__(self, other):
+        Counted.compared += 1
+        return int(self) < int(other)
+
+    __hash__ = int.__hash__
+
+
+def test_what_is_sorted_is_not_sorted_again():
+    keys = [Counted(i // 2) for i in range(1000)]
+    Counted.compared = 0
+    assert C.sorted_slices(keys) == [(0, 1000)] and C.merge_order(keys) == list(range(0, 1000, 2))
+    # Each neighbour is compared once per call, to see that there is one slice; nothing else is.
+    assert Counted.compared == 2 * 999
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_merging_slices(seed):
+    rng = random.Random(seed)
+    files = [sorted(rng.choices(range(60), k=rng.randrange(1, 30))) for _ in range(rng.randrange(1, 20))]
+    keys = [(k,) for f in files for k in f]
+    assert len(C.sorted_slices(keys)) <= len(files)
+    order = C.merge_order(keys)
+    assert [keys[i] for i in order] == sorted(set(keys))
+    assert all(keys.index(keys[i]) == i for i in order) and C.merge_order([]) == []
+
+
+@pytest.mark.parametrize("merge_bytes,least", [(C.MERGE_BYTES, C.LEAST_BYTES), (200, C.LEAST_BYTES), (2000, 3000)])
+def test_consolidation_by_ranges_and_from_scratch_files(spark, monkeypatch, merge_bytes, least):
+    monkeypatch.setattr(C, "LEAST_BYTES", least)
+    rng = random.Random(7)
+    df, data = runs_of(spark, rng, n=2500)
+    df = df.repartition(6)
+    listed = [(f, "live" if f < 50 else "tmp", 1, f % 3, f, 40, None) for f in range(60)]
+    listings = spark.createDataFrame(listed, LISTINGS + ", cluster_id int, gen int, n_records int, n_bytes bigint")
+    done, made = C.consolidate_files(df, listings, 1500, merge_bytes=merge_bytes)
+    got = done.collect()
+    want = {(r[1], r[6]): (r[3], r[4], r[5]) for r in data if r[0] < 50}
+    assert len(got) == len(want) and {(r.cluster_id, r.seq): (r.key, r.kind, r.value) for r in got} == want
+    ranges = {r.file_no // C.FILES_PER_RANGE for r in got}
+    assert len(ranges) > 4 if least == 3000 else len(ranges) == 1
+    if least == 3000:
+        # The hot key is spread over several ranges.
+        assert len({r.file_no // C.FILES_PER_RANGE for r in got if r.key == "hot"}) > 2
+    # The listings say what the files hold.
+    new = {(r.cluster_id, r.file_no): r for r in made.filter("file_state = 'live'").collect()}
+    told = {(r.cluster_id, r.file_no): r for r in C.file_ranges(done).collect()}
+    assert set(new) == set(told) and len({r.file_id for r in new.values()}) == len(new)
+    for f, r in new.items():
+        assert (r.n_records, r.n_bytes, r.min_key, r.max_key) == (told[f].n_records, told[f].n_bytes, told[f].min_key, told[f].max_key)
+        keys = {x.key for x in got if (x.cluster_id, x.file_no) == f} - {None}
+        assert r.file_id > 59 and (not keys or bloom_test([k.encode() for k in keys], r.bloom_k, r.bloom_m, bytes(r.bloom_bits)).all())
+        assert r.gen > max(x[4] for x in listed if x[3] == r.cluster_id)
+    both = listings.unionByName(made.select(*listings.columns))
+    assert {r.file_id for r in C.live_files(both).collect()} == {r.file_id for r in new.values()}
+
+
+def test_ranges_come_from_bytes_and_cores():
+    assert [C.ranges_for(n << 20, 6) for n in (0, 1, 8, 40, 400, 4000)] == [1, 1, 2, 10, 12, 63]
+    assert C.ranges_for(1 << 47, 6) == C.RANGES_MAX
+
+
 LOG = "feed_id bigint, cluster_id int, idx bigint, term bigint, origin int, cmd_id bigint, op string, kind int, key string, overruled_from int, _block int"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators.consolidate import consolidate, file_ranges
+from tidelog.operators.consolidate import consolidate, consolidate_files
 from tidelog.operators.diff import difference_counts, differences
 from tidelog.operators.replay import DELETE_OPS, replay, watermarks
 from tidelog.operators.seen import Seen
@@ -28,7 +28,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
-    return file_ranges(consolidate(table(spark, d, "runs"), table(spark, d, "sstables")))
+    """The listings published for the consolidated files. How many there are depends on the cores."""
+    listings = consolidate_files(table(spark, d, "runs"), table(spark, d, "sstables"))[1]
+    return listings.filter("file_state = 'live'").select("file_id", "cluster_id", "gen", "n_records", "n_bytes", "min_key", "max_key", "bloom_k", "bloom_m")
+
+
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the published listings add up to in each cluster, and the ends of their keys."""
+    return p2_files(spark, d).groupBy("cluster_id").agg(
+        F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key")
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +72,7 @@ def p5_error(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p2_found, p2_files, p3_found, p3_watermarks, p4_found, p4_runs, p5_found, p5_error)
+    for f in (p1_found, p1_counts, p2_found, p2_files, p2_totals, p3_found, p3_watermarks, p4_found, p4_runs, p5_found, p5_error)
 }
 
 _P1 = """
@@ -95,6 +104,15 @@ SQL = {
             SELECT file_id, file_state, row_number() OVER (PARTITION BY file_id ORDER BY listed_at DESC, file_state DESC) AS rn
             FROM sstables) t WHERE rn = 1 AND file_state = 'live')
     """,
+    "p2_totals": """
+        WITH live AS (SELECT file_id FROM (
+            SELECT file_id, file_state, row_number() OVER (PARTITION BY file_id ORDER BY listed_at DESC, file_state DESC) AS rn
+            FROM sstables) t WHERE rn = 1 AND file_state = 'live'),
+        r AS (SELECT DISTINCT cluster_id, seq, key, coalesce(rec_len, strlen(key) + strlen(coalesce(value, '')) + 9) AS size FROM runs
+              WHERE file_id IN (SELECT file_id FROM live))
+        SELECT cluster_id, count(*) AS n_records, CAST(sum(size) AS BIGINT) AS n_bytes, min(key) AS min_key, max(key) AS max_key
+        FROM r GROUP BY cluster_id
+    """,
     "p3_found": f"""
         WITH {_COMMITTED},
         cmd AS (SELECT cluster_id, origin, cmd_id, key, idx, coalesce(kind = 1, lower(trim(op)) IN {DELETE_OPS}) AS del,

@@ -74,14 +74,19 @@ def _positions(h: np.ndarray, m: int, k: int) -> np.ndarray:
     return (low[:, None] + np.arange(k, dtype=np.uint64) * high[:, None]) % np.uint64(m)
 
 
-def bloom(keys: list[bytes]) -> tuple[int, int, bytes]:
-    """(k, m, bits) of the filter over the keys of a run."""
-    m = -(-max(BLOOM_LEAST_BITS, BLOOM_BITS_PER_KEY * max(1, len(keys))) // 8) * 8
+def bloom_of(h: np.ndarray) -> tuple[int, int, bytes]:
+    """(k, m, bits) of the filter over keys with these hashes."""
+    m = -(-max(BLOOM_LEAST_BITS, BLOOM_BITS_PER_KEY * max(1, len(h))) // 8) * 8
     bits = np.zeros(m, bool)
-    bits[_positions(fnv1a64(keys), m, BLOOM_HASHES).astype(np.int64).ravel()] = True
+    bits[_positions(h, m, BLOOM_HASHES).astype(np.int64).ravel()] = True
     return BLOOM_HASHES, m, np.packbits(bits, bitorder="little").tobytes()
 
 
+def bloom(keys: list[bytes]) -> tuple[int, int, bytes]:
+    """(k, m, bits) of the filter over the keys of a run."""
+    return bloom_of(fnv1a64(keys))
+
+
 def encode_bloom(k: int, m: int, bits: bytes) -> bytes:
     return struct.pack(">II", k, m) + bits
 

@@ -235,10 +235,34 @@ def test_gaps_hold_what_follows(spark):
     df = spark.createDataFrame([put(1, "a"), put(2, "b"), put(4, "c"), put(4, "c")], LOG)
     assert rows(R.replay(df, feed_complete=False)) == [(0, "a", 1), (0, "b", 2)]
     assert rows(R.watermarks(df)) == [(0, 1, 2, 4)]
+    assert rows(R.replay(df, feed_complete=True)) == [(0, "a", 1), (0, "b", 2), (0, "c", 4)]
+    assert rows(R.replay(df)) == [(0, "a", 1), (0, "b", 2)]
     filled = df.union(spark.createDataFrame([put(3, "a")], LOG))
     assert rows(R.replay(filled, feed_complete=False)) == [(0, "a", 3), (0, "b", 2), (0, "c", 4)]
 
 
+def test_a_missing_head_holds_everything(spark):
+    put = lambda i, key: (0, 0, i, 1, 0, i, "put", 0, key, 0, 0)
+    df = spark.createDataFrame([put(3, "a"), put(4, "b"), put(5, "c")], LOG)
+    assert rows(R.replay(df)) == [] and rows(R.watermarks(df)) == [(0, 1, 0, 5)]
+    # A log that begins behind a snapshot has its head.
+    assert rows(R.replay(df, first=3)) == [(0, "a", 3), (0, "b", 4), (0, "c", 5)]
+    assert rows(R.replay(df, first=4)) == [(0, "b", 4), (0, "c", 5)] and rows(R.watermarks(df, 4)) == [(0, 4, 5, 5)]
+
+
+def test_overruled_entries_do_not_fill_gaps(spark):
+    row = lambda i, t, key: (0, 0, i, t, 0, 100 * t + i, "put", 0, key, 0, 0)
+    # Entry 3 of term 1 is overruled by entry 2 of term 2, and no other entry 3 was committed.
+    df = spark.createDataFrame([row(1, 1, "a"), row(2, 2, "b"), row(3, 1, "c"), row(4, 2, "d")], LOG)
+    assert rows(R.watermarks(df)) == [(0, 1, 2, 4)] and rows(R.replay(df)) == [(0, "a", 1), (0, "b", 2)]
+
+
+def test_unknown_spellings_are_told(spark):
+    ops = [("Put", None, "k"), ("zap", None, "k"), (" ZAP ", None, "k"), ("zap", 0, "k"), (None, None, "k"), ("zap", None, None), ("DEL", None, "k")]
+    df = spark.createDataFrame([(0, 0, i, 1, 0, i, op, kind, key, 0, 0) for i, (op, kind, key) in enumerate(ops)], LOG)
+    assert rows(R.unknown_ops(df)) == sorted([("zap", 2), (None, 1)], key=repr)
+
+
 def test_replay_empty_and_null(spark):
     assert rows(R.replay(spark.createDataFrame([], LOG))) == []
     bad = [(0, None, 1, 1, 0, 1, "put", 0, "a", 0, 0), (0, 0, None, 1, 0, 1, "put", 0, "a", 0, 0), (0, 0, 1, None, 0, 1, "put", 0, "a", 0, 0), (0, 0, 1, 1, None, None, "put", None, "a", 0, 0)]
@@ -254,21 +278,21 @@ def test_blocked(spark, width):
     assert {(r.g, r.o): r.x for r in suffix_min(df, ["g"], "o", "v", "x", width).collect()} == least
     sums = {(g, o): sum(v2 for g2, o2, v2 in data if g2 == g and o2 < o) for g, o, _ in data}
     assert {(r.g, r.o): r.x for r in prefix_sum(df, ["g"], "o", "v", "x", width).collect()} == sums
-    ends = {}
-    for g in "ab":
-        have = sorted(o for gg, o, _ in data if gg == g)
-        w = have[0]
-        while w + 1 in have:
-            w += 1
-        ends[g] = (have[0], w, have[-1])
-    assert {r.g: tuple(r)[1:] for r in contiguous_end(df.select("g", "o"), ["g"], "o", width).collect()} == ends
-
-
-@pytest.mark.parametrize("first,gap", [(5, 12), (1, 13), (0, 30)])
-def test_contiguous_end_at_block_borders(spark, first, gap):
-    df = spark.createDataFrame([(1, i) for i in range(first, 30) if i != gap], "g int, o int")
-    for width in (1, 4, 12, 64):
-        assert contiguous_end(df, ["g"], "o", width).first().watermark == min(gap - 1, 29)
+
+
+@pytest.mark.parametrize("first,have,end", [
+    (1, range(1, 30), 29), (1, [*range(1, 12), *range(13, 30)], 11), (1, range(2, 9), 0), (5, range(1, 9), 8), (5, [1, 2, 6, 7], 4), (0, [0], 0), (-3, range(-3, 3), 2),
+    (1, range(1, 32769), 32768), (1, range(1, 32770), 32769), (1, [*range(1, 32768), 32769], 32767), (1, [*range(1, 65537), 70_000], 65536), (7, [*range(7, 40_000), *range(40_001, 99_000)], 39_999),
+    (1, range(40_000, 40_010), 0), (1, [*range(1, 8), *range(9, 20)], 7), (1, [*range(1, 9), *range(10, 20)], 8),
+])
+def test_contiguous_end(spark, first, have, end):
+    data = [(g, i) for g in "ab" for i in have if g == "a" or i < first + 3] + [("a", have[0])] * 2 + [("low", first - 1)]
+    got = {r.g: tuple(r)[1:] for r in contiguous_end(spark.createDataFrame(data, "g string, o int"), ["g"], "o", first).collect()}
+    mine = [i for i in have if first <= i]
+    assert got["a"] == (first, end, max(mine)) and "low" not in got
+    if any(i < first + 3 for i in mine):
+        few = [i for i in mine if i < first + 3]
+        assert got["b"] == (first, min(end, max(few)), max(few))
 
 
 @pytest.mark.parametrize("parts,fan_in", [(1, 64), (9, 2), (20, 3)])

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import materialize
+
 
 def suffix_min(df: DataFrame, groups: Sequence[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """Adds `out`: the least `value` among the rows of the group with a strictly greater `order`, else null.
@@ -31,38 +33,45 @@ def suffix_min(df: DataFrame, groups: Sequence[str], order: str, value: str, out
     return joined.withColumn(out, F.least("_inner", "_later")).drop("_block", "_inner", "_later")
 
 
-def contiguous_end(df: DataFrame, groups: Sequence[str], order: str, width: int = 65536) -> DataFrame:
-    """(*groups, first, watermark, last): how far `order` runs without a gap from the group's first value.
+#: Entries of a block of bitmap_bucket_number().
+BITMAP = 32768
+
+
+def _leading_ones(bits: Column) -> Column:
+    """How many bits of a bitmap are set before the first that is not; the lowest bit of a byte comes first."""
+    digits = F.hex(bits)
+    whole = (F.length(F.regexp_extract(digits, "^(?:FF)*+", 0)) / 2).cast("bigint")
+    byte = F.substring(digits, (whole * 2 + 1).cast("int"), F.lit(2))
+    part = F.locate("0", F.reverse(F.lpad(F.conv(byte, 16, 2), 9, "0"))) - 1
+    return whole * 8 + F.when(byte == "", F.lit(0)).otherwise(part)
 
-    `order` must be an integer column, unique within its group. Full blocks are told by their counts; only the first
-    block with a gap is looked at row by row.
+
+def contiguous_end(df: DataFrame, groups: Sequence[str], order: str, first: int) -> DataFrame:
+    """(*groups, first, watermark, last): how far `order` runs from `first` without a gap; first - 1 if that is missing.
+
+    Values may be repeated; those below `first` do not count, and a group without others gives no row. The values become
+    one bitmap for each 32768, so what is shuffled is a few KB a block and task; no group is ever in one task.
     """
-    first = df.groupBy(*groups).agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    cut = df.select(*groups, order).join(first, groups).withColumn(
-        "_block", F.floor((F.col(order) - F.col("first")) / F.lit(width)).cast("bigint")
-    )
-    blocks = cut.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    # The first block that is absent or not full: absent ones show as a jump of the block number.
-    w = Window.partitionBy(*groups).orderBy("_block")
-    ranked = blocks.withColumn("_rank", F.row_number().over(w) - 1)
-    broken = (
-        ranked.filter((F.col("_rank") != F.col("_block")) | (F.col("_n") < width))
-        .groupBy(*groups)
-        .agg(F.min("_rank").alias("_broken"))
+    at = df.select(*groups, (F.col(order) - first + 1).cast("bigint").alias("_at")).filter("_at >= 1")
+    # Written once: it is read three times, and is small.
+    blocks = materialize(
+        at.groupBy(*groups, F.bitmap_bucket_number("_at").alias("_block")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"), F.max("_at").alias("_last")
+        ),
+        "blocks",
     )
-    inside = (
-        cut.join(broken, groups)
-        .filter(F.col("_block") == F.col("_broken"))
-        .withColumn("_at", F.row_number().over(Window.partitionBy(*groups, "_block").orderBy(order)) - 1)
-        .filter(F.col(order) == F.col("first") + F.col("_broken") * width + F.col("_at"))
-        .groupBy(*groups)
-        .agg(F.max(order).alias("_in"))
+    full = blocks.filter(F.bitmap_count("_bits") == BITMAP).select(*groups, "_block")
+    # The first block that is not full is the first one, or one behind a full one.
+    last = blocks.groupBy(*groups).agg(F.max("_last").alias("_last"))
+    after = full.select(*groups, (F.col("_block") + 1).alias("_block")).unionByName(last.select(*groups, F.lit(1).cast("bigint").alias("_block")))
+    broken = after.join(full, [*groups, "_block"], "left_anti").groupBy(*groups).agg(F.min("_block").alias("_block"))
+    end = broken.join(blocks.select(*groups, "_block", "_bits"), [*groups, "_block"], "left").select(
+        *groups, ((F.col("_block") - 1) * BITMAP + F.coalesce(_leading_ones(F.col("_bits")), F.lit(0))).alias("_end")
     )
-    joined = first.join(broken, groups, "left").join(inside, groups, "left")
-    end = F.when(F.col("_broken").isNull(), F.col("last")).otherwise(
-        F.coalesce("_in", F.col("first") + F.col("_broken") * width - 1)
+    start = F.lit(first).cast("bigint")
+    return last.join(end, list(groups)).select(
+        *groups, start.alias("first"), (F.col("_end") + first - 1).cast("bigint").alias("watermark"), (F.col("_last") + first - 1).cast("bigint").alias("last")
     )
-    return joined.select(*groups, "first", end.cast("bigint").alias("watermark"), "last")
 
 
 def prefix_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, out: str, width: int = 65536) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.consolidate import consolidate, consolidate_files
 from tidelog.operators.diff import difference_counts, differences
-from tidelog.operators.replay import DELETE_OPS, replay, watermarks
+from tidelog.operators.replay import replay, unknown_ops, watermarks
 from tidelog.operators.seen import Seen
 from tidelog.operators.treetop import first_n_per_key
 from tidelog.session import table
@@ -48,6 +48,10 @@ def p3_watermarks(spark: SparkSession, d: str) -> DataFrame:
     return watermarks(table(spark, d, "replicated_log"))
 
 
+def p3_unknown_ops(spark: SparkSession, d: str) -> DataFrame:
+    return unknown_ops(table(spark, d, "replicated_log"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     firsts = first_n_per_key(table(spark, d, "replicated_log"), "key", ["proposed_at", "feed_id"], fan_in=8)
     return firsts.select("key", "feed_id")
@@ -72,7 +76,7 @@ def p5_error(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p2_found, p2_files, p2_totals, p3_found, p3_watermarks, p4_found, p4_runs, p5_found, p5_error)
+    for f in (p1_found, p1_counts, p2_found, p2_files, p2_totals, p3_found, p3_watermarks, p3_unknown_ops, p4_found, p4_runs, p5_found, p5_error)
 }
 
 _P1 = """
@@ -115,7 +119,7 @@ SQL = {
     """,
     "p3_found": f"""
         WITH {_COMMITTED},
-        cmd AS (SELECT cluster_id, origin, cmd_id, key, idx, coalesce(kind = 1, lower(trim(op)) IN {DELETE_OPS}) AS del,
+        cmd AS (SELECT cluster_id, origin, cmd_id, key, idx, coalesce(kind = 1, regexp_matches(lower(op), 'del|rem|rm|tomb|eras')) AS del,
                        row_number() OVER (PARTITION BY cluster_id, origin, cmd_id ORDER BY idx) AS rn
                 FROM c WHERE key IS NOT NULL),
         last AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, key ORDER BY idx DESC) AS pos FROM cmd WHERE rn = 1)
@@ -129,6 +133,11 @@ SQL = {
         SELECT cluster_id, first, max(CASE WHEN idx = first + rn - 1 THEN idx END) AS watermark, max(idx) AS last
         FROM n GROUP BY cluster_id, first
     """,
+    "p3_unknown_ops": """
+        SELECT lower(trim(op)) AS op, count(*) AS n FROM replicated_log
+        WHERE key IS NOT NULL AND kind IS NULL AND NOT coalesce(regexp_full_match(lower(trim(op)), '(op)?(put|set|insert|update|upsert|del|delete|remove|tombstone)'), false)
+        GROUP BY 1
+    """,
     "p4_found": """
         WITH f AS (SELECT DISTINCT key, proposed_at, feed_id FROM replicated_log
                    WHERE key IS NOT NULL AND proposed_at IS NOT NULL)

@@ -308,6 +308,20 @@ def test_first_n_per_key(spark, parts, fan_in):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("chunk_rows,fan_in,rounds", [(1 << 15, 8, 2), (50, 4, 2), (10, 4, 3), (5, 2, 7)])
+def test_tree_rounds(spark, chunk_rows, fan_in, rounds):
+    rng = random.Random(chunk_rows)
+    data = [(rng.choice(["hot"] * 9 + ["a", "b"]), rng.randrange(50), i) for i in range(400)]
+    df = spark.createDataFrame(data, "key string, t int, id int").repartition(4)
+    top = first_n_per_key(df, "key", ["t", "id"], fan_in=fan_in, chunk_rows=chunk_rows)
+    want = {(k, t, i) for k in ("hot", "a", "b") for _, t, i in sorted(r for r in data if r[0] == k)[:3]}
+    assert {tuple(r) for r in top.collect()} == want
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    # One exchange a round, and a limit where rows are read.
+    final = plan.split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") == rounds and final.count("WindowGroupLimit") == 2 * rounds
+
+
 def test_first_n_of_nothing(spark):
     df = spark.createDataFrame([], "key string, t int, id int")
     assert first_n_per_key(df, "key", ["t", "id"]).count() == 0

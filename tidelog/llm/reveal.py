@@ -27,7 +27,7 @@ _CONTROL = re.compile(r"\\[ntr]")
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
 _TAGS = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|mark|s|small|span|strong|sub|sup|tt|u|wbr)(?:\s[^<>]*)?/?>", re.I)
 _RUN = re.compile(r"[A-Za-z0-9+/=]{48,}")
-_LETTERS = re.compile("[A-Za-z]+")
+_RISES, _DIGIT = re.compile("[a-z][A-Z]"), re.compile("[0-9]")
 _BROKEN = re.compile(r"-(?<=[^\W\d_]-)(?:[ \t]*\n[ \t#>*]*|[ ])(?=[^\W\d_])")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ ._*\-~|/])[^\W\d_]\1[^\W\d_](?:\1[^\W\d_])*(?![^\W_])")
 _LEET = re.compile(r"[a-z]+[0-9@$#*!][a-z0-9@$#*!]*|[0-9@$#*!]+[a-z][a-z0-9@$#*!]*")
@@ -36,16 +36,14 @@ _WORD = re.compile(f"[{L.EAST}]|[^\\W\\d_{L.EAST}]+")
 _DRAWN = re.compile(r"(.)\1\1")
 _PARTS = re.compile(r"[^\W\d_]+(?:([-._*~|/'])[^\W\d_]+(?:\1[^\W\d_]+)*)")
 _SIGNS = re.compile(r"[@$#*!]")
+_LIKE_LETTERS = re.compile(r"[0-9@$#*!]")
 _NOT_NAMES = re.compile("[.!?:;]['\")\\]]*$")
 
 
 def _encoded(m: re.Match) -> str:
-    """A blank for encoded data, else what was found: in written words the case does not change within a word."""
+    """A blank for encoded data, else what was found: in written words the case seldom changes within a word."""
     run = m[0]
-    words = _LETTERS.findall(run)
-    letters = sum(map(len, words))
-    mixed = sum(len(w) for w in words if not (w.islower() or w.isupper() or w.istitle()))
-    return " " if mixed * 4 > letters and any(c.isdigit() for c in run) else run
+    return " " if _DIGIT.search(run) and len(_RISES.findall(run)) * 10 >= len(run) else run
 
 
 def _unescape(text: str) -> str:
@@ -121,16 +119,34 @@ def _code(word: str, raw: str, disguised: bool) -> int:
     return out
 
 
+def _read(lower: str, piece: str, lo: int, hi: int, spaced: bool) -> list[int]:
+    """The coded words of a part as they stand, but for drawn-out letters."""
+    out = []
+    for m in _WORD.finditer(lower, lo, hi):
+        word, hidden = m[0], spaced
+        if word not in L.WORDS and len(word) > 2:
+            if _DRAWN.search(word):
+                if (plain := _squeeze(word)) is not None:
+                    word, hidden = plain, True
+            elif len(word) > 4 and (plain := L.SKELETONS.get(L.skeleton(word))) is not None and len(plain) == len(word):
+                word, hidden = plain, True
+        out.append(_code(word, piece[m.start() : m.end()], hidden and word in L.DISGUISED))
+    return out
+
+
 def _codes(piece: str) -> tuple[int, ...]:
     """The coded words of a piece without blanks."""
     spaced = "\x00" in piece
-    piece = piece.replace("\x00", "")
+    if spaced:
+        piece = piece.replace("\x00", "")
     lower = piece.lower()
     if lower in L.WORDS:
         return (_code(lower, piece, spaced and lower in L.DISGUISED),)
+    if lower.isalpha():
+        return tuple(_read(lower, piece, 0, len(lower), spaced))
     # (from, to, word): disguised words first, what they do not cover is read as it stands.
     taken: list[tuple[int, int, str, bool]] = []
-    if not lower.isalpha():
+    if _LIKE_LETTERS.search(lower):
         for m in _LEET.finditer(lower):
             plain = _unleet(m[0])
             if plain is not None:
@@ -138,29 +154,18 @@ def _codes(piece: str) -> tuple[int, ...]:
             elif _INSIDE.search(m[0]):
                 # Not listed, but perhaps known to the labels: one word, spelt out.
                 taken.append((m.start(), m.end(), _SIGNS.sub("", m[0].strip("@$#*!").translate(L.LEET)), False))
-        for m in _PARTS.finditer(lower):
-            joined = m[0].replace(m[1], "")
-            if len(joined) > 4 and joined in L.DISGUISED and not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
-                taken.append((m.start(), m.end(), joined, True))
+    for m in _PARTS.finditer(lower):
+        joined = m[0].replace(m[1], "")
+        if len(joined) > 4 and joined in L.DISGUISED and not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            taken.append((m.start(), m.end(), joined, True))
     taken.sort()
     out: list[int] = []
     at = 0
-
-    def read(lo: int, hi: int) -> None:
-        for m in _WORD.finditer(lower, lo, hi):
-            word, hidden = m[0], spaced
-            if word not in L.WORDS:
-                if _DRAWN.search(word) and (plain := _squeeze(word)) is not None:
-                    word, hidden = plain, True
-                elif (plain := L.SKELETONS.get(L.skeleton(word))) is not None and len(plain) == len(word):
-                    word, hidden = plain, True
-            out.append(_code(word, piece[m.start() : m.end()], hidden and word in L.DISGUISED))
-
     for lo, hi, word, hidden in taken:
-        read(at, lo)
+        out += _read(lower, piece, at, lo, spaced)
         out.append(_code(word, piece[lo:hi], hidden))
         at = hi
-    read(at, len(lower))
+    out += _read(lower, piece, at, len(lower), spaced)
     if out and _NOT_NAMES.search(piece):
         out[-1] |= END
     return tuple(out)
@@ -176,6 +181,9 @@ def coded(text: str) -> np.ndarray:
     for piece in prepare(text).split():
         codes = get(piece)
         if codes is None:
+            if piece.isascii() and piece.upper() == piece.lower():
+                # Neither letters nor, without any, signs for them.
+                continue
             codes = _codes(piece)
             if len(piece) <= KEPT_LENGTH:
                 if len(_kept) >= KEPT_PIECES:

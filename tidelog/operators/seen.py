@@ -19,8 +19,12 @@ from tidelog.session import materialize
 
 BITS_PER_KEY = 10
 HASHES = 7
-#: Expected keys of a shard: with 8 bytes a hash while it is built, about 8 MB.
-KEYS_PER_SHARD = 1 << 20
+#: Rows of the history for a shard at most: with 8 bytes a hash while it is built, about 8 MB; and so many at least
+#: where there are cores to spare.
+KEYS_PER_SHARD, LEAST_PER_SHARD = 1 << 20, 1 << 15
+#: Up to so many hashes of positives, of 8 bytes each, are broadcast to find their keys in the history; beyond, the
+#: history is shuffled by key.
+BROADCAST_POSITIVES = 2_000_000
 
 FILTER_SCHEMA = "shard int, n bigint, k int, m bigint, bits binary"
 
@@ -89,8 +93,9 @@ def _build(bits_per_key: int, k: int):
     return build
 
 
-def shards_for(rows: int, keys_per_shard: int = KEYS_PER_SHARD) -> int:
-    return max(1, -(-rows // keys_per_shard))
+def shards_for(rows: int, keys_per_shard: int = KEYS_PER_SHARD, cores: int = 1) -> int:
+    """Enough for the rows, and for all cores if that leaves LEAST_PER_SHARD to each."""
+    return max(1, -(-rows // keys_per_shard), min(2 * cores, rows // LEAST_PER_SHARD))
 
 
 def build_filter(history: DataFrame, key: str, shards: int, bits_per_key: int = BITS_PER_KEY, k: int = HASHES) -> DataFrame:
@@ -98,7 +103,8 @@ def build_filter(history: DataFrame, key: str, shards: int, bits_per_key: int =
     hashes = (
         history.filter(F.col(key).isNotNull()).select(_shard(key, shards), F.xxhash64(key).alias("h")).distinct()
     )
-    return hashes.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build(bits_per_key, k), FILTER_SCHEMA)
+    # A partition is a shard.
+    return hashes.repartitionById(shards, F.col("shard")).mapInArrow(_build(bits_per_key, k), FILTER_SCHEMA)
 
 
 def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +141,7 @@ def route(firsts: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
         "shard", F.lit(0).alias("is_probe"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("key"),
         F.lit(None).cast("bigint").alias("h"), "m", "k", "bits",
     )
-    both = tests.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "is_probe")
+    both = tests.unionByName(probes).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_probe")
     return both.mapInArrow(_route, "id bigint, key string, maybe boolean")
 
 
@@ -162,7 +168,8 @@ class Seen:
         )
         self.history = history.select(F.col(key).alias("key")).filter(F.col("key").isNotNull())
         if filters is None:
-            shards = shards_for(history.count(), keys_per_shard)
+            # All rows, null keys too: of a Parquet table this reads the footers alone.
+            shards = shards_for(history.count(), keys_per_shard, history.sparkSession.sparkContext.defaultParallelism)
             filters = build_filter(self.history, "key", shards), shards
         firsts = self.probes.groupBy("key").agg(F.min("id").alias("id"))
         #: The log of the filter's answers, written once.
@@ -171,7 +178,12 @@ class Seen:
     def disproved(self) -> DataFrame:
         """(id, key): probes that the filter let through though the history lacks their key."""
         positives = self.routed.filter("maybe").select("id", "key")
-        return positives.join(self.history.distinct(), "key", "left_anti").select("id", "key")
+        # Of the history only what hashes like a positive is looked at in full.
+        asked = positives.select(F.xxhash64("key").alias("_h")).distinct()
+        there = self.history
+        if positives.count() <= BROADCAST_POSITIVES:
+            there = there.join(F.broadcast(asked), F.xxhash64("key") == F.col("_h"), "left_semi")
+        return positives.join(there.distinct(), "key", "left_anti").select("id", "key")
 
     def found(self) -> DataFrame:
         """(id): the probes that were seen, each once."""

@@ -74,9 +74,14 @@ def p5_error(spark: SparkSession, d: str) -> DataFrame:
     return _seen(spark, d).error_rate()
 
 
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """(looked_up, absent): keys that were looked up, and those among them that the history lacks, whatever the filter said."""
+    return p5_error(spark, d).select("looked_up", (F.col("negatives") + F.col("wrong")).alias("absent"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p2_found, p2_files, p2_totals, p3_found, p3_watermarks, p3_unknown_ops, p4_found, p4_runs, p5_found, p5_error)
+    for f in (p1_found, p1_counts, p2_found, p2_files, p2_totals, p3_found, p3_watermarks, p3_unknown_ops, p4_found, p4_runs, p5_found, p5_error, p5_totals)
 }
 
 _P1 = """
@@ -154,4 +159,8 @@ SQL = {
         LEFT JOIN (SELECT key, min(probe_id) AS first FROM bloom_probes WHERE key IS NOT NULL GROUP BY key) f ON p.key = f.key
         WHERE p.key IS NOT NULL AND (f.first < p.probe_id OR p.key IN (SELECT key FROM runs WHERE key IS NOT NULL))
     """,
+    "p5_totals": """
+        WITH k AS (SELECT DISTINCT key FROM bloom_probes WHERE key IS NOT NULL AND probe_id IS NOT NULL)
+        SELECT count(*) AS looked_up, count(*) FILTER (key NOT IN (SELECT key FROM runs WHERE key IS NOT NULL)) AS absent FROM k
+    """,
 }

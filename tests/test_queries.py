@@ -10,7 +10,7 @@ import importlib
 
 from tests.conftest import SF
 
-CORE = ["pipeline", "kv", "replicas", "extra"]
+CORE = ["pipeline", "kv", "replicas", "raftlog", "extra"]
 MODULES = [importlib.import_module(f"tidelog.plans.{m}") for m in CORE]
 CASES = [(name, m) for m in MODULES for name in m.QUERIES]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

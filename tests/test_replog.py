@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidelog.operators import fold, replog, runs, votes
+from tidelog.operators import fold, messages, replog, runs, votes
 
 
 def progress(spark, **clusters):
@@ -28,9 +29,10 @@ def test_quorum_of_any_size(spark):
 def test_only_the_leaders_own_term_commits_by_counting(spark):
     # An entry of term 2 on a majority is not committed by a leader of term 4 until one of its own is.
     held = progress(spark, c=[3, 2, 2, 0, 0])
-    got = {r.term: r.commit_idx for r in replog.commit_index(log(spark, 1, 2, 4), held).collect()}
+    entries = log(spark, 1, 2, 4).withColumn("cluster", F.lit("c")).union(log(spark, 1, 1).withColumn("cluster", F.lit("other")))
+    got = {r.term: r.commit_idx for r in replog.commit_index(entries, held).collect()}
     assert got == {1: 1, 2: 2} and 4 not in got
-    got = {r.term: r.commit_idx for r in replog.commit_index(log(spark, 1, 2, 4), progress(spark, c=[3, 3, 3, 0, 0])).collect()}
+    got = {r.term: r.commit_idx for r in replog.commit_index(entries, progress(spark, c=[3, 3, 3, 0, 0])).collect()}
     assert got[4] == 3
 
 
@@ -49,32 +51,140 @@ def test_matching_and_truncation(spark, own, match, conflict, after):
     assert replog.rejections(leader, replica).first().rejections == 4 - match
 
 
-def test_replies_never_lower_a_match(spark):
-    replies = spark.createDataFrame(
-        [("c", 0, 1, True, 5, 3), ("c", 0, 2, True, 1, 1), ("c", 1, 1, False, 4, 0)], "cluster string, node int, seq int, success boolean, prev_idx bigint, n_entries bigint"
-    )
-    got = {r.node: (r.match_idx, r.next_idx) for r in replog.after_reply(progress(spark, c=[4, 0, 2]), replies).collect()}
-    assert got == {0: (8, 9), 1: (0, 1), 2: (2, 3)}
-
-
-def test_strong_read_needs_a_majority(spark):
-    acks = lambda *oks: spark.createDataFrame([("c", i, 1, ok) for i, ok in enumerate(oks)], "cluster string, node int, term int, ok boolean")
-    held = progress(spark, c=[9, 9, 4, 4])
-    assert replog.read_index(acks(True, True, False, False), held).first().confirmed is False
-    assert replog.read_index(acks(True, True, True, False), held).first().confirmed is True
-
-
-def test_strong_read_counts_the_highest_term_alone(spark):
-    held = progress(spark, old=[9, 9, 9], late=[9, 9, 9], now=[9, 9, 9], twice=[9, 9, 9])
-    data = [
-        ("old", 0, 1, True), ("old", 1, 1, True), ("old", 2, 2, False),  # a higher term has deposed the leader
-        ("late", 0, 2, True), ("late", 1, 1, True), ("late", 2, 1, True),  # answers to an earlier term
-        ("now", 0, 2, True), ("now", 1, 2, True), ("now", 2, 1, False),
-        ("twice", 0, 2, True), ("twice", 0, 2, True), ("twice", 1, 2, False), ("twice", 2, 2, False),
-    ]
-    acks = spark.createDataFrame(data, "cluster string, node int, term int, ok boolean")
-    got = {r.cluster: r.confirmed for r in replog.read_index(acks, held).collect()}
-    assert got == {"old": False, "late": False, "now": True, "twice": False}
+REPLY = "cluster string, node int, seq int, sent_term int, term int, success boolean, prev_idx bigint, n_entries bigint"
+
+
+def brute_replies(progress_, lead, replies):
+    state = {(c, n): [m, x] for c, n, m, x in progress_}
+    fallen = set()
+    for c, n, _, sent, term, ok, prev, k in sorted(replies, key=lambda r: r[2]):
+        if term > lead[c]:
+            fallen.add(c)
+        if c in fallen or sent != lead[c]:
+            continue
+        if ok:
+            state[c, n] = [prev + k, prev + k + 1]
+        elif state[c, n][1] > 1:
+            state[c, n][1] -= 1
+    return sorted((c, n, m, x) for (c, n), (m, x) in state.items())
+
+
+def test_each_failure_moves_the_next_index_back(spark):
+    held = spark.createDataFrame([("c", 0, 0, 51), ("c", 1, 0, 3), ("c", 2, 7, 9), ("c", 3, 5, 6)], "cluster string, node int, match_idx bigint, next_idx bigint")
+    leaders = spark.createDataFrame([("c", 3)], "cluster string, term int")
+    fails = [("c", 0, i, 3, 3, False, 50 - i, 0) for i in range(5)] + [("c", 1, 10 + i, 3, 3, False, 2, 0) for i in range(9)]
+    # A success may lower a match; failures before it count for nothing; replies of an earlier term do not count.
+    more = [("c", 2, 30, 3, 3, False, 8, 0), ("c", 2, 31, 3, 3, True, 2, 2), ("c", 2, 32, 3, 3, False, 4, 0), ("c", 3, 33, 2, 3, True, 90, 5)]
+    got = rows(messages.after_replies(held, leaders, spark.createDataFrame(fails + more, REPLY)))
+    assert got == [("c", 0, 0, 46), ("c", 1, 0, 1), ("c", 2, 4, 4), ("c", 3, 5, 6)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replies_are_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    held = [(c, n, rng.randrange(5), rng.randrange(1, 9)) for c in "abc" for n in range(4)]
+    lead = {c: 5 for c in "abc"}
+    replies = [(rng.choice("abc"), rng.randrange(4), i, rng.choice([4, 5, 5, 5]), 5, rng.random() < 0.3, rng.randrange(9), rng.randrange(3)) for i in range(120)]
+    replies.append(("b", 1, 70, 5, 6, False, 1, 0))
+    replies = [(c, n, i if (c, n, i) != ("b", 1, 70) else 70, *r) for c, n, i, *r in replies if i != 70 or r[1] == 6]
+    rng.shuffle(replies)
+    got = rows(messages.after_replies(spark.createDataFrame(held, "cluster string, node int, match_idx bigint, next_idx bigint"), spark.createDataFrame(list(lead.items()), "cluster string, term int"), spark.createDataFrame(replies, REPLY)))
+    assert got == brute_replies(held, lead, replies)
+
+
+def test_snapshot_replies(spark):
+    held = spark.createDataFrame([("c", 0, 3, 4), ("c", 1, 9, 4), ("c", 2, 0, 1)], "cluster string, node int, match_idx bigint, next_idx bigint")
+    leaders = spark.createDataFrame([("c", 3)], "cluster string, term int")
+    got = [("c", 0, 1, 3, 3, 8), ("c", 1, 2, 3, 3, 5), ("c", 2, 3, 2, 3, 8), ("c", 0, 4, 3, 4, 20), ("c", 2, 5, 3, 3, 20)]
+    replies = spark.createDataFrame(got, "cluster string, node int, seq int, sent_term int, term int, snapshot_idx bigint")
+    assert rows(messages.after_snapshot_replies(held, leaders, replies)) == [("c", 0, 8, 9), ("c", 1, 9, 6), ("c", 2, 0, 1)]
+
+
+def brute_append(node, own, message, entries):
+    """(term, success, last, commit, log) after one message, step by step."""
+    term, commit, snap, snap_term = node
+    sent, prev, prev_term, leader_commit = message
+    held = dict(own)
+    last = max(held, default=snap)
+    at = lambda i: snap_term if i == snap else held.get(i, -1)
+    if sent < term:
+        return term, False, last, commit, held
+    if prev > last or at(prev) != prev_term:
+        return sent, False, last, commit, held
+    for i, t in entries:
+        if i in held and held[i] != t:
+            held = {j: u for j, u in held.items() if j < i}
+        held.setdefault(i, t)
+    last = max(held, default=snap)
+    return sent, True, last, max(commit, min(leader_commit, last)), held
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_appending_is_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    nodes, logs, sent, entries, want = [], [], [], [], {}
+    for n in range(60):
+        snap, snap_term = rng.choice([(0, 0), (3, 1)])
+        lead = [(i, 1 + i // 4) for i in range(1, 14)]
+        end, fork = rng.randrange(snap, 15), rng.randrange(2, 16)
+        own = [(i, 1 + i // 4 if i < fork else 1 + i // 6) for i in range(snap + 1, end + 1)]
+        prev = rng.randrange(snap, 13)
+        prev_term = dict(lead).get(prev, 0) if prev > snap else snap_term
+        rest = [e for e in lead if prev < e[0] <= prev + rng.randrange(6)]
+        node = (rng.choice([3, 4, 5]), rng.randrange(snap, end + 1), snap, snap_term)
+        message = (4, prev, rng.choice([prev_term] * 3 + [9]), rng.randrange(15))
+        nodes.append(("c", n, *node))
+        logs += [("c", n, *e) for e in own]
+        sent.append(("c", n, *message))
+        entries += [("c", n, *e) for e in rest]
+        want[n] = brute_append(node, own, message, rest)
+    nodes.append(("c", 99, 1, 0, 0, 0))
+    logs.append(("c", 99, 1, 1))
+    rows_ = lambda data, names: spark.createDataFrame(data, f"cluster string, node int, {names}")
+    given = rows_(nodes, "term int, commit_idx int, snapshot_idx int, snapshot_term int"), rows_(logs, "idx int, term int"), rows_(sent, "term int, prev_idx int, prev_term int, leader_commit int"), rows_(entries, "idx int, term int")
+    got = {r.node: tuple(r)[2:] for r in messages.append_replies(*given).collect()}
+    assert got == {n: w[:4] for n, w in want.items()} and {True, False} == {w[1] for w in want.values()}
+    after = {}
+    for r in messages.appended(*given).collect():
+        assert after.setdefault(r.node, {}).setdefault(r.idx, r.term) == r.term
+    assert after.pop(99) == {1: 1} and after == {n: w[4] for n, w in want.items() if w[4]}
+
+
+def test_messages_to_nodes(spark):
+    leaders = spark.createDataFrame([("c", 5, 0, 6, 3, 2)], "cluster string, term int, node int, commit_idx int, snapshot_idx int, snapshot_term int")
+    entries = spark.createDataFrame([("c", i, 2 + i // 4) for i in range(4, 9)], "cluster string, idx int, term int")
+    held = spark.createDataFrame([("c", n, 0, x) for n, x in enumerate([9, 4, 6, 3, 1])], "cluster string, node int, match_idx int, next_idx int")
+    told = messages.append_args(leaders, entries, held)
+    assert rows(told) == [("c", 0, 5, 8, 4, 9, 0, 6), ("c", 1, 5, 3, 2, 4, 5, 6), ("c", 2, 5, 5, 3, 6, 3, 6)]
+    assert rows(messages.append_rows(entries, told).filter("node = 2")) == [("c", 2, 6, 3), ("c", 2, 7, 3), ("c", 2, 8, 4)]
+    assert rows(messages.install_args(leaders, held)) == [("c", 3, 5, 0, 3, 2), ("c", 4, 5, 0, 3, 2)]
+    new = messages.new_progress(spark.createDataFrame([("c", 8)], "cluster string, last_idx int"), held.select("cluster", "node"))
+    assert {tuple(r)[2:] for r in new.collect()} == {(0, 9)}
+
+
+def test_snapshots_have_guards(spark):
+    nodes = spark.createDataFrame([("c", n, 5, 7, 3, 2) for n in range(4)], "cluster string, node int, term int, commit_idx int, snapshot_idx int, snapshot_term int")
+    held = spark.createDataFrame([("c", n, i, i) for n in range(4) for i in range(4, 10)], "cluster string, node int, idx int, term int")
+    asked = spark.createDataFrame([("c", 0, 3), ("c", 1, 8), ("c", 2, 7), ("c", 3, 1)], "cluster string, node int, at int")
+    taken = messages.take_snapshots(nodes, held, asked)
+    assert rows(taken) == [("c", 0, "nothing", 3, 2), ("c", 1, "refused", 3, 2), ("c", 2, "taken", 7, 7), ("c", 3, "nothing", 3, 2)]
+    assert rows(messages.compacted(held, taken).filter("node = 2")) == [("c", 2, 8, 8, 1), ("c", 2, 9, 9, 2)]
+    assert messages.compacted(held, taken).filter("node = 1").count() == 6
+
+
+def test_strong_reads(spark):
+    """A majority of all members at the leader's term, and none that shows a higher one."""
+    cases = {
+        "two_of_four": ([(1, 3, True), (2, 3, False)], 4, False), "three_of_four": ([(1, 3, True), (2, 3, True)], 4, True),
+        "deposed": ([(1, 3, True), (2, 3, True), (3, 9, False)], 4, False), "late": ([(1, 2, True), (2, 2, True), (3, 2, True)], 4, False),
+        "twice": ([(1, 3, True), (1, 3, True), (1, 3, True)], 4, False), "itself": ([(0, 3, True), (0, 3, True), (1, 3, False)], 3, False),
+        "alone": ([], 1, True), "silent": ([], 3, False), "most_silent": ([(1, 3, True)], 5, False),
+    }
+    leaders = spark.createDataFrame([(c, 3, 0, 40) for c in cases], "cluster string, term int, node int, commit_idx int")
+    acks = spark.createDataFrame([(c, 3, *a) for c, (told, _, _) in cases.items() for a in told] + [("silent", 2, 1, 2, True), ("silent", 2, 2, 2, True)], "cluster string, asked_term int, node int, term int, ok boolean")
+    members = spark.createDataFrame([(c, n) for c, (_, size, _) in cases.items() for n in range(size)], "cluster string, node int")
+    got = {r.cluster: (r.read_idx, r.confirmed) for r in messages.read_index(leaders, acks, members).collect()}
+    assert got == {c: (40, ok) for c, (_, _, ok) in cases.items()}
 
 
 def test_terms_behind_a_snapshot(spark):

@@ -1,7 +1,8 @@
 """Rules of a replicated log, evaluated over recorded state and messages.
 
-Logs are rows (node, idx, term); progress is rows (cluster, node, match_idx). Nothing here runs a consensus: the rules
-are relations.
+Logs are rows (node, idx, term), with a column cluster where there are several; progress is rows (cluster, node,
+match_idx, next_idx). Nothing here runs a consensus: the rules are relations, each evaluated for all nodes of all
+clusters at once. What nodes answer to a message, and what a leader makes of it, is in messages.py.
 """
 
 from __future__ import annotations
@@ -28,36 +29,45 @@ def quorum(progress: DataFrame) -> DataFrame:
 
 
 def commit_index(log: DataFrame, progress: DataFrame) -> DataFrame:
-    """(cluster, term, commit_idx): how far a leader of each term may commit by counting, its own term only."""
+    """(cluster, term, commit_idx): how far a leader of each term may commit by counting, its own term only.
+
+    `log`: (cluster, idx, term), the entries of each cluster's leader.
+    """
     q = quorum(progress)
-    held = log.select("idx", "term").join(F.broadcast(q), F.col("idx") <= F.col("quorum_idx"))
+    held = log.select("cluster", "idx", "term").join(F.broadcast(q), "cluster").filter(F.col("idx") <= F.col("quorum_idx"))
     return held.groupBy("cluster", "term").agg(F.max("idx").alias("commit_idx"))
 
 
+def _shared(log: DataFrame) -> list[str]:
+    return ["cluster"] if "cluster" in log.columns else []
+
+
 def match(leader: DataFrame, replicas: DataFrame) -> DataFrame:
-    """(node, match_idx, conflict_idx, last_idx): up to where a replica agrees with the leader, the first index at
-    which terms differ (null if none), and the replica's last index."""
-    joined = replicas.join(leader.select("idx", F.col("term").alias("_term")), "idx", "left")
+    """([cluster,] node, match_idx, conflict_idx, last_idx): up to where a replica agrees with the leader, the first
+    index at which terms differ (null if none), and the replica's last index."""
+    on = _shared(leader)
+    joined = replicas.join(leader.select(*on, "idx", F.col("term").alias("_term")), [*on, "idx"], "left")
     differs = F.when(F.col("_term").isNotNull() & (F.col("term") != F.col("_term")), F.col("idx"))
     shared = F.when(F.col("term") == F.col("_term"), F.col("idx"))
-    per = joined.groupBy("node").agg(
+    per = joined.groupBy(*on, "node").agg(
         F.min(differs).alias("conflict_idx"), F.max(shared).alias("_shared"), F.max("idx").alias("last_idx")
     )
     end = F.least(F.coalesce("_shared", F.lit(0)), F.coalesce(F.col("conflict_idx") - 1, F.col("_shared"), F.lit(0)))
-    return per.select("node", end.cast("bigint").alias("match_idx"), "conflict_idx", "last_idx")
+    return per.select(*on, "node", end.cast("bigint").alias("match_idx"), "conflict_idx", "last_idx")
 
 
 def truncated(leader: DataFrame, replicas: DataFrame) -> DataFrame:
-    """(node, idx, term): each replica's log after it took the leader's entries: what precedes the first conflict is
-    kept, also beyond the leader's end if there is no conflict, the rest is the leader's."""
-    ends = match(leader, replicas).select("node", "conflict_idx", "match_idx")
-    kept = replicas.join(F.broadcast(ends), "node").filter(
-        F.col("conflict_idx").isNull() | (F.col("idx") < F.col("conflict_idx"))
-    )
-    held = replicas.select("node").distinct()
-    sent = leader.select("idx", "term").join(F.broadcast(held))
-    new = sent.join(kept.select("node", "idx"), ["node", "idx"], "left_anti")
-    return kept.select("node", "idx", "term").unionByName(new.select("node", "idx", "term"))
+    """([cluster,] node, idx, term): each replica's log after it took the leader's entries: what precedes the first
+    conflict is kept, also beyond the leader's end if there is no conflict, the rest is the leader's."""
+    on = _shared(leader)
+    # What a replica keeps is told by one number, its last kept index; a handful of rows a cluster.
+    kept_to = F.coalesce(F.col("conflict_idx") - 1, "last_idx").alias("_kept")
+    ends = F.broadcast(match(leader, replicas).select(*on, "node", kept_to))
+    kept = replicas.join(ends, [*on, "node"]).filter(F.col("idx") <= F.col("_kept"))
+    rows = leader.select(*on, "idx", "term")
+    # Every row of this join is a row of the result.
+    sent = rows.join(ends, on).filter(F.col("idx") > F.col("_kept")) if on else rows.join(ends, F.col("idx") > F.col("_kept"))
+    return kept.select(*on, "node", "idx", "term").unionByName(sent.select(*on, "node", "idx", "term"))
 
 
 def rejections(leader: DataFrame, replicas: DataFrame) -> DataFrame:
@@ -67,11 +77,6 @@ def rejections(leader: DataFrame, replicas: DataFrame) -> DataFrame:
     return match(leader, replicas).join(F.broadcast(last)).select("node", (F.col("_last") - F.col("match_idx")).alias("rejections"))
 
 
-def snapshot(log: DataFrame, at: int) -> DataFrame:
-    """(idx, term, pos): the log after a snapshot of everything up to `at`: the boundary entry stays at position 0."""
-    return log.filter(F.col("idx") >= at).select("idx", "term", (F.col("idx") - at).alias("pos"))
-
-
 def send_plan(progress: DataFrame, snapshot_idx: int, last_idx: int) -> DataFrame:
     """(cluster, node, next_idx, action, n_entries): what a leader sends to each peer next."""
     nxt = F.col("match_idx") + 1
@@ -81,23 +86,6 @@ def send_plan(progress: DataFrame, snapshot_idx: int, last_idx: int) -> DataFram
     return progress.select("cluster", "node", nxt.alias("next_idx"), action.alias("action"), entries.cast("bigint").alias("n_entries"))
 
 
-def after_reply(progress: DataFrame, replies: DataFrame) -> DataFrame:
-    """(cluster, node, match_idx, next_idx) after the last reply of each node: on success the match rises to what was
-    sent, and never falls; on failure the next index goes back by one, to 1 at least.
-
-    `replies`: (cluster, node, seq, success, prev_idx, n_entries).
-    """
-    ok = F.max(F.when(F.col("success"), F.col("prev_idx") + F.col("n_entries"))).alias("_ok")
-    last = F.max(F.struct("seq", "success")).alias("_last")
-    joined = progress.join(replies.groupBy("cluster", "node").agg(ok, last), ["cluster", "node"], "left")
-    matched = F.greatest("match_idx", F.coalesce("_ok", F.lit(0)))
-    back = F.greatest(F.col("match_idx"), F.lit(1))
-    return joined.select(
-        "cluster", "node", matched.alias("match_idx"),
-        F.when(F.coalesce(F.col("_last.success"), F.lit(True)), matched + 1).otherwise(back).alias("next_idx"),
-    )
-
-
 def propose(log: DataFrame, commands: DataFrame, term: int) -> DataFrame:
     """(idx, term, cmd_id): the log with the commands (seq, cmd_id) of a leader of `term` behind its last entry.
 
@@ -117,22 +105,6 @@ def lag(progress: DataFrame) -> DataFrame:
     )
 
 
-def read_index(acks: DataFrame, progress: DataFrame) -> DataFrame:
-    """(cluster, read_idx, confirmed): the index a strong read waits for, and whether the leader may serve it.
-
-    `acks`: (cluster, node, term, ok), a row per answer of the nodes asked and the leader's own; only acks of the
-    highest term seen count, and a higher term than the leader's has deposed it. A node counts once.
-    """
-    top = acks.groupBy("cluster").agg(F.max("term").alias("_top"))
-    current = F.col("ok") & (F.col("term") == F.col("_top"))
-    asked = acks.join(F.broadcast(top), "cluster").groupBy("cluster").agg(
-        F.count_distinct(F.when(current, F.col("node"))).alias("_ok"), F.count_distinct("node").alias("_n")
-    )
-    return asked.join(quorum(progress), "cluster").select(
-        "cluster", F.col("quorum_idx").alias("read_idx"), is_majority(F.col("_ok"), F.col("_n")).alias("confirmed")
-    )
-
-
 def command_match(log: DataFrame, committed: DataFrame) -> DataFrame:
     """(cluster_id, idx, term, origin, cmd_id, applied): for each proposed entry, whether its own command is what was
     committed at its index."""
@@ -177,11 +149,3 @@ def install_snapshot(state: DataFrame, messages: DataFrame) -> DataFrame:
     newer = current & (F.col("_s") > F.col("snapshot_idx"))
     take = lambda c: F.when(newer, F.col("_s")).otherwise(F.col(c)).alias(c)
     return joined.select("node", F.greatest("term", "_t").alias("term"), take("commit_idx"), take("applied_idx"), take("snapshot_idx"), current.alias("accepted"))
-
-
-def after_snapshot_reply(progress: DataFrame, snapshot_idx: int) -> DataFrame:
-    """(cluster, node, match_idx, next_idx): peers that took the snapshot have matched it, if not more."""
-    return progress.select(
-        "cluster", "node", F.greatest(F.col("match_idx"), F.lit(snapshot_idx)).cast("bigint").alias("match_idx"),
-        F.lit(snapshot_idx + 1).cast("bigint").alias("next_idx"),
-    )

@@ -23,10 +23,6 @@ def raft_majority(spark: SparkSession, d: str) -> DataFrame:
     return votes_.select("votes", "size", replog.is_majority(F.col("votes"), F.col("size")).alias("majority"))
 
 
-def raft_commit(spark: SparkSession, d: str) -> DataFrame:
-    return replog.commit_index(X.log_entries(spark, d), X.progress(spark, d))
-
-
 def raft_log_match(spark: SparkSession, d: str) -> DataFrame:
     return replog.match(X.log_entries(spark, d), X.replicas(spark, d))
 
@@ -43,10 +39,6 @@ def _half(spark: SparkSession, d: str) -> int:
     return table(spark, d, "events").count() // 2
 
 
-def raft_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return replog.snapshot(X.log_entries(spark, d), _half(spark, d))
-
-
 def raft_needs_snapshot(spark: SparkSession, d: str) -> DataFrame:
     half = _half(spark, d)
     return replog.send_plan(X.progress(spark, d), half, 2 * half).select("cluster", "node", "next_idx", (F.col("action") == "snapshot").alias("needs_snapshot"))
@@ -57,15 +49,6 @@ def raft_send_plan(spark: SparkSession, d: str) -> DataFrame:
     return replog.send_plan(X.progress(spark, d), half, 2 * half)
 
 
-def raft_reply(spark: SparkSession, d: str) -> DataFrame:
-    p = X.progress(spark, d)
-    n = table(spark, d, "events").count()
-    seqs = p.select("cluster", "node", "match_idx", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seq"))
-    prev = F.greatest(F.col("match_idx") - 5 * F.col("seq"), F.lit(0))
-    replies = seqs.select("cluster", "node", "seq", ((F.col("seq") + F.col("node")) % 2 == 0).alias("success"), prev.alias("prev_idx"), F.least(F.lit(7).cast("bigint"), n - prev).alias("n_entries"))
-    return replog.after_reply(p, replies)
-
-
 def raft_propose(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), (F.col("n_nationkey") + 1000).cast("bigint").alias("cmd_id"))
     return replog.propose(X.log_entries(spark, d), new, 99)
@@ -73,7 +56,7 @@ def raft_propose(spark: SparkSession, d: str) -> DataFrame:
 
 def raft_term_at(spark: SparkSession, d: str) -> DataFrame:
     half = _half(spark, d)
-    asked = spark.range(half - 3, 2 * half + 3, 7).select(F.col("id").alias("idx")).union(spark.createDataFrame([(half,)], "idx bigint"))
+    asked = spark.range(-1, 2 * half + 3).select(F.col("id").alias("idx"))
     return replog.term_at(X.log_entries(spark, d), asked, half, 5)
 
 
@@ -96,10 +79,6 @@ def raft_install_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return replog.install_snapshot(_states(spark, d), sent)
 
 
-def raft_snapshot_reply(spark: SparkSession, d: str) -> DataFrame:
-    return replog.after_snapshot_reply(X.progress(spark, d), _half(spark, d))
-
-
 def raft_roles(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(0, 4).select(F.col("id").alias("role"), votes.role_name(F.col("id").cast("int")).alias("name"))
 
@@ -108,11 +87,6 @@ def raft_lag(spark: SparkSession, d: str) -> DataFrame:
     return replog.lag(X.progress(spark, d))
 
 
-def raft_read_index(spark: SparkSession, d: str) -> DataFrame:
-    acks = X.progress(spark, d).select("cluster", "node", F.lit(3).alias("term"), (F.col("node") != 2).alias("ok"))
-    return replog.read_index(acks.filter("cluster = 'five' OR node > 1 OR node = 0"), X.progress(spark, d))
-
-
 def raft_converged(spark: SparkSession, d: str) -> DataFrame:
     """(node, n_differs): keys whose live value at a replica, which has applied a part of the log, is not the leader's."""
     log = X.mutation_log(spark, d)
@@ -172,8 +146,8 @@ def peers_entries(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        raft_quorum, raft_majority, raft_commit, raft_log_match, raft_truncate, raft_backoff, raft_snapshot, raft_needs_snapshot, raft_send_plan,
-        raft_reply, raft_propose, raft_term_at, raft_follower_commit, raft_restart, raft_install_snapshot, raft_snapshot_reply, raft_roles, raft_lag, raft_read_index, raft_converged, vote_eligible, vote_grant, vote_winner,
+        raft_quorum, raft_majority, raft_log_match, raft_truncate, raft_backoff, raft_needs_snapshot, raft_send_plan,
+        raft_propose, raft_term_at, raft_follower_commit, raft_restart, raft_install_snapshot, raft_roles, raft_lag, raft_converged, vote_eligible, vote_grant, vote_winner,
         vote_leader_progress, cmd_match, cmd_equiv, peers_parse, peers_entries,
     )
 }
@@ -193,23 +167,16 @@ entries_ AS (SELECT list_id, id, address, CASE WHEN eq = 0 THEN 'no_equals' WHEN
 SQL = {
     "raft_quorum": f"WITH {X.QUORUM_SQL} SELECT cluster, quorum_idx FROM quorum",
     "raft_majority": "SELECT v AS votes, s AS size, 2 * v > s AS majority FROM (SELECT unnest(range(0, 8)) AS s) a, (SELECT unnest(range(0, 8)) AS v) b WHERE v <= s",
-    "raft_commit": f"WITH {X.ENTRIES_SQL}, {X.QUORUM_SQL} SELECT cluster, term, max(idx) AS commit_idx FROM entries, quorum WHERE idx <= quorum_idx GROUP BY cluster, term",
     "raft_log_match": f"WITH {X.REPLICAS_SQL} SELECT * FROM matched",
     "raft_truncate": f"""WITH {X.REPLICAS_SQL},
         kept AS (SELECT r.node, idx, term FROM replicas r JOIN matched m ON r.node = m.node WHERE conflict_idx IS NULL OR idx < conflict_idx)
         SELECT node, idx, term FROM kept UNION ALL
         SELECT m.node, e.idx, e.term FROM entries e, matched m WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.node = m.node AND k.idx = e.idx)""",
     "raft_backoff": f"WITH {X.REPLICAS_SQL} SELECT node, {_N} - match_idx AS rejections FROM matched",
-    "raft_snapshot": f"WITH {X.ENTRIES_SQL} SELECT idx, term, idx - {_N} // 2 AS pos FROM entries WHERE idx >= {_N} // 2",
     "raft_needs_snapshot": f"{_PLAN} SELECT cluster, node, next_idx, snap AS needs_snapshot FROM plan",
     "raft_send_plan": f"{_PLAN} SELECT cluster, node, next_idx, CASE WHEN snap THEN 'snapshot' WHEN n_entries > 0 THEN 'append' ELSE 'heartbeat' END AS action, n_entries FROM plan",
-    "raft_reply": f"""WITH {X.PROGRESS_SQL},
-        r AS (SELECT cluster, node, match_idx, seq, (seq + node) % 2 = 0 AS success, greatest(match_idx - 5 * seq, 0) AS prev FROM progress, (SELECT unnest(range(0, 3)) AS seq) s),
-        a AS (SELECT cluster, node, match_idx, max(CASE WHEN success THEN prev + least(7, {_N} - prev) END) AS ok, arg_max(success, seq) AS last FROM r GROUP BY cluster, node, match_idx),
-        b AS (SELECT *, greatest(match_idx, coalesce(ok, 0)) AS m FROM a)
-        SELECT cluster, node, m AS match_idx, CASE WHEN last THEN m + 1 ELSE greatest(match_idx, 1) END AS next_idx FROM b""",
     "raft_propose": f"SELECT {_N} + row_number() OVER (ORDER BY n_nationkey) AS idx, CAST(99 AS BIGINT) AS term, CAST(n_nationkey + 1000 AS BIGINT) AS cmd_id FROM nation",
-    "raft_term_at": f"""WITH {X.ENTRIES_SQL}, h AS (SELECT {_N} // 2 AS half), a AS (SELECT unnest(range(half - 3, 2 * half + 3, 7)) AS idx FROM h UNION SELECT half FROM h)
+    "raft_term_at": f"""WITH {X.ENTRIES_SQL}, h AS (SELECT {_N} // 2 AS half), a AS (SELECT unnest(range(-1, 2 * half + 3)) AS idx FROM h)
         SELECT a.idx, a.idx - half AS pos, CAST(CASE WHEN a.idx = half THEN 5 WHEN a.idx < half THEN -1 ELSE coalesce(term, -1) END AS BIGINT) AS term FROM a CROSS JOIN h LEFT JOIN entries e ON a.idx = e.idx""",
     "raft_follower_commit": f"WITH {X.REPLICAS_SQL} SELECT node, least(last_idx, {_N} // 2) AS commit_idx FROM ends",
     "raft_restart": f"""WITH {X.PROGRESS_SQL} SELECT node, CAST(node AS BIGINT) AS term, 0 AS voted_for, 'follower' AS role, CAST(NULL AS INTEGER) AS leader,
@@ -217,11 +184,8 @@ SQL = {
     "raft_install_snapshot": f"""WITH {X.PROGRESS_SQL}, s AS (SELECT node, match_idx AS m, match_idx - 10 * node AS own, {_N} * 8 // 10 AS snap FROM progress WHERE cluster = 'five')
         SELECT node, CAST(greatest(node, 2) AS BIGINT) AS term, CASE WHEN node <= 2 AND snap > own THEN snap ELSE m END AS commit_idx,
             CASE WHEN node <= 2 AND snap > own THEN snap ELSE m END AS applied_idx, CASE WHEN node <= 2 AND snap > own THEN snap ELSE own END AS snapshot_idx, node <= 2 AS accepted FROM s""",
-    "raft_snapshot_reply": f"WITH {X.PROGRESS_SQL} SELECT cluster, node, greatest(match_idx, {_N} // 2) AS match_idx, {_N} // 2 + 1 AS next_idx FROM progress",
     "raft_roles": "SELECT CAST(role AS BIGINT) AS role, name FROM (VALUES (0, 'follower'), (1, 'candidate'), (2, 'leader'), (3, 'unknown')) v(role, name)",
     "raft_lag": f"WITH {X.QUORUM_SQL} SELECT p.cluster, node, greatest(quorum_idx - match_idx, 0) AS lag FROM progress p JOIN quorum q ON p.cluster = q.cluster",
-    "raft_read_index": f"""WITH {X.QUORUM_SQL}, acks AS (SELECT cluster, node <> 2 AS ok FROM progress WHERE cluster = 'five' OR node > 1 OR node = 0)
-        SELECT q.cluster, quorum_idx AS read_idx, 2 * count(*) FILTER (ok) > count(*) AS confirmed FROM acks a JOIN quorum q ON a.cluster = q.cluster GROUP BY q.cluster, quorum_idx""",
     "raft_converged": f"""WITH {X.LOG_SQL}, v AS (SELECT CAST(node AS INTEGER) AS node, {_N} * b // 100 AS applied FROM (VALUES {X._values(X.REPLICAS)}) v(node, a, b)),
         h AS (SELECT node, key, kind, value, row_number() OVER (PARTITION BY node, key ORDER BY seq DESC) AS r FROM log, v WHERE seq <= applied)
         SELECT v.node, count(*) FILTER (CASE WHEN h.kind = 0 THEN h.value END IS DISTINCT FROM CASE WHEN t.kind = 0 THEN t.value END) AS n_differs

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidelog.functions.bytes import encode_record, fnv1a64
-from tidelog.operators import peers
+from tidelog.operators import bloom, peers
 from tidelog.sources import codec
 from tidelog.sources.formats import register
 
@@ -64,6 +64,38 @@ def test_bloom():
         codec.decode_bloom(codec.encode_bloom(k, m, bits) + b"x")
 
 
+@pytest.mark.parametrize("sent", [True, False])
+@pytest.mark.parametrize("groups", [[], ["g"], ["g", "h"]])
+def test_packed_filters(spark, monkeypatch, groups, sent):
+    if not sent:
+        monkeypatch.setattr(bloom, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(bloom, "KEYS_PER_PART", 40)
+    rng = random.Random(len(groups))
+    data = [(rng.randrange(3), rng.choice("xy"), rng.choice([None, "", "ключ", f"k{rng.randrange(90)}"]), 1) for _ in range(500)]
+    df = spark.createDataFrame(data, "g int, h string, key string, bits int")
+    at = [("g", "h").index(c) for c in groups]
+    held = {}
+    for r in data:
+        if r[2] is not None:
+            held.setdefault(tuple(r[i] for i in at), set()).add(r[2].encode())
+    filters = bloom.packed(df, groups)
+    got = {tuple(r[: len(groups)]): r for r in filters.collect()}
+    assert set(got) == set(held)
+    for name, r in got.items():
+        k, m, bits = codec.bloom(sorted(held[name]))
+        assert (r.n_keys, r.k, r.m, bytes(r.bits)) == (len(held[name]), k, m, bits) and r.n_set == int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum())
+    asked = [(rng.randrange(4), rng.choice("xyz"), f"k{i}", 2) for i in range(200)] + [(0, "x", None, 2), (0, "x", "", 2), (0, "x", "", 2)]
+    want = set()
+    for r in asked:
+        name = tuple(r[i] for i in at)
+        if r[2] is not None and name in held:
+            f = got[name]
+            want.add((*name, r[2], bool(codec.bloom_test([r[2].encode()], f.k, f.m, bytes(f.bits))[0])))
+    answers = [tuple(r) for r in bloom.probe(filters, spark.createDataFrame(asked, "g int, h string, key string, maybe int"), groups).collect()]
+    assert len(answers) == len(want) and set(answers) == want
+    assert bloom.probe(filters.limit(0), df, groups).count() == 0 and bloom.packed(df.limit(0), groups).count() == 0
+
+
 @pytest.mark.parametrize("key", ["", "a", "foobar", "ключ", "漢字" * 20])
 def test_hash_is_one_in_both_worlds(spark, key):
     h = spark.createDataFrame([(key,)], "key string").select(fnv1a64(F.col("key")).alias("h")).first().h

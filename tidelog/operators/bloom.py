@@ -1,52 +1,147 @@
-"""Bloom filters over the keys of runs, as relations of bit positions and as the blobs that run files carry."""
+"""Bloom filters over the keys of runs: packed bits, built and tested a batch of keys at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.functions.bytes import BLOOM_BITS_PER_KEY, BLOOM_HASHES, bloom_bits, bloom_positions, fnv1a64
-from tidelog.sources.codec import bloom_test
+from tidelog.functions.bytes import BLOOM_BITS_PER_KEY, BLOOM_HASHES
+from tidelog.session import materialize
+from tidelog.sources.codec import bloom_of, bloom_test, fnv1a64
 
+#: Filters of up to so many bytes together are sent to every task; beyond, keys travel to the filters.
+BROADCAST_BYTES = 32 << 20
+#: Keys that a task tests against one filter, about, where keys travel.
+KEYS_PER_PART = 1_000_000
 
-def hashes(keys: DataFrame, key: str = "key") -> DataFrame:
-    """(key, h1, h2): the two hashes that positions are made of; h2 is never 0."""
-    h = keys.select(key, fnv1a64(F.col(key)).alias("_h"))
-    return h.select(key, F.col("_h.low").alias("h1"), F.when(F.col("_h.high") == 0, 1).otherwise(F.col("_h.high")).alias("h2"))
+
+def _raw(keys: pa.Array) -> list[bytes]:
+    return keys.cast(pa.binary()).to_pylist()
 
 
-def set_bits(keys: DataFrame, groups: Sequence[str] = (), key: str = "key") -> DataFrame:
-    """(*groups, m, pos): the bits set in one filter per group of keys."""
+def hashes(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(key, h1, h2): the two hashes that positions are made of; h2 is never 0. A null key has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(batch.column(0).is_valid())
+            h = fnv1a64(_raw(held.column(0)))
+            h2 = h >> np.uint64(32)
+            parts = [pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(np.where(h2 == 0, np.uint64(1), h2).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([held.column(0), *parts], [key, "h1", "h2"])
+
+    field = keys.select(key).schema[0]
+    return keys.select(key).mapInArrow(run, T.StructType([field, T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+
+
+def _hashed(groups: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = fnv1a64(_raw(batch.column(len(groups))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(groups)], pa.array(h.view(np.int64))], [*groups, "_h"])
+
+    return run
+
+
+def _build(groups: Sequence[str]):
+    """Rows come group by group; the hashes of one group are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, schema = None, [], None
+
+        def done() -> pa.RecordBatch:
+            h = np.concatenate(held).view(np.uint64)
+            k, m, bits = bloom_of(h)
+            n_set = int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum())
+            own = [pa.array([v], schema.field(c).type) for v, c in zip(at, groups)]
+            rest = [pa.array([v], t) for v, t in zip((len(h), k, m, n_set, bits), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([*own, *rest], [*groups, "n_keys", "k", "m", "n_set", "bits"])
+
+        for batch in batches:
+            schema = batch.schema
+            h = batch.column(len(groups)).to_numpy()
+            names = list(zip(*[c.to_pylist() for c in batch.columns[: len(groups)]])) or [()] * len(h)
+            lo = 0
+            for hi in range(1, len(h) + 1):
+                if hi == len(h) or names[hi] != names[lo]:
+                    if held and at != names[lo]:
+                        yield done()
+                        held = []
+                    at = names[lo]
+                    held.append(h[lo:hi])
+                    lo = hi
+        if held:
+            yield done()
+
+    return run
+
+
+def packed(keys: DataFrame, groups: Sequence[str] = (), key: str = "key") -> DataFrame:
+    """(*groups, n_keys, k, m, n_set, bits): the filter of each group's distinct keys; null keys are left out.
+
+    A filter is that of one run file, so a group is a bounded unit: a task holds the hashes of one, 8 bytes a key. For
+    the keys of a whole history there are the sharded filters of seen.py.
+    """
     rows = keys.filter(F.col(key).isNotNull()).select(*groups, key).distinct()
-    sizes = rows.groupBy(*groups).agg(bloom_bits(F.count(F.lit(1))).alias("m"))
-    sized = rows.join(sizes, list(groups)) if groups else rows.join(F.broadcast(sizes))
-    each = sized.select(*groups, "m", F.explode(bloom_positions(fnv1a64(F.col(key)), F.col("m"))).alias("pos"))
-    return each.distinct()
+    own = rows.select(*groups).schema.fields
+    hashed = rows.mapInArrow(_hashed(groups), T.StructType([*own, T.StructField("_h", T.LongType())]))
+    ordered = hashed.repartition(*groups).sortWithinPartitions(*groups) if groups else hashed.repartition(1)
+    more = T._parse_datatype_string("n_keys bigint, k int, m bigint, n_set bigint, bits binary")
+    return ordered.mapInArrow(_build(groups), T.StructType([*own, *more.fields]))
 
 
 def fill(keys: DataFrame, groups: Sequence[str], key: str = "key") -> DataFrame:
     """(*groups, n_keys, m, n_set): size and load of each group's filter."""
-    rows = keys.filter(F.col(key).isNotNull()).select(*groups, key).distinct()
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_keys"))
-    bits = set_bits(keys, groups, key).groupBy(*groups, "m").agg(F.count(F.lit(1)).alias("n_set"))
-    return sizes.join(bits, list(groups)).select(*groups, "n_keys", "m", "n_set")
+    return packed(keys, groups, key).select(*groups, "n_keys", "m", "n_set")
 
 
 def probe(filters: DataFrame, probes: DataFrame, groups: Sequence[str] = (), key: str = "key") -> DataFrame:
-    """(*groups, key, maybe): each probe against the filter of its group, given as rows of set_bits().
+    """(*groups, key, maybe): each distinct probe against the filter of its group, as packed() gave them.
 
-    A probe may be in the filter if all its positions are among the set bits.
+    Probes whose group has no filter are left out, null keys too. Filters of BROADCAST_BYTES together or less are known
+    to every task, and nothing is shuffled to test; more are met by the keys, and keys of one filter are spread.
     """
-    sizes = filters.select(*groups, "m").distinct()
     asked = probes.select(*groups, key).filter(F.col(key).isNotNull()).distinct()
-    sized = asked.join(sizes, list(groups)) if groups else asked.join(F.broadcast(sizes))
-    wanted = sized.select(*groups, key, F.explode(F.array_distinct(bloom_positions(fnv1a64(F.col(key)), F.col("m")))).alias("pos"))
-    hit = wanted.join(filters.select(*groups, "pos", F.lit(1).alias("_hit")), [*groups, "pos"], "left")
-    # Two positions of one key may coincide, so the number wanted is counted too.
-    return hit.groupBy(*groups, key).agg((F.count("_hit") == F.count(F.lit(1))).alias("maybe"))
+    schema = T.StructType([*asked.schema.fields, T.StructField("maybe", T.BooleanType())])
+    # Written once, so that the size is known before anything is sent.
+    filters = materialize(filters.select(*groups, "k", "m", "bits"), "filters")
+    size = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        known = {tuple(r[: len(groups)]): tuple(r[len(groups) :]) for r in filters.collect()}
+        return asked.mapInArrow(_test_known(known, len(groups)), schema)
+    parts = max(1, -(-asked.count() // KEYS_PER_PART))
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part")
+    names = [*groups, "_part"]
+    copies = filters.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        cols = left.select([*groups, key])
+        if not right.num_rows:
+            return cols.slice(0, 0).append_column("maybe", pa.array([], pa.bool_()))
+        f = right.select(["k", "m", "bits"]).to_pylist()[0]
+        return cols.append_column("maybe", pa.array(bloom_test(_raw(cols[key].combine_chunks()), f["k"], f["m"], f["bits"])))
+
+    return asked.select(*groups, key, part).groupBy(*names).cogroup(copies.groupBy(*names)).applyInArrow(both, schema)
+
+
+def _test_known(known: dict[tuple, tuple], n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = list(zip(*[c.to_pylist() for c in batch.columns[:n]])) or [()] * batch.num_rows
+            of: dict[tuple, list[int]] = {}
+            for i, name in enumerate(names):
+                of.setdefault(name, []).append(i)
+            for name, rows in of.items():
+                if name in known:
+                    mine = batch.take(pa.array(rows))
+                    yield mine.append_column("maybe", pa.array(bloom_test(_raw(mine.column(n)), *known[name])))
+
+    return run
 
 
 #: Keys of one file that a task tests at most, about; a larger file is spread over several.

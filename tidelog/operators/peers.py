@@ -76,12 +76,13 @@ class Router:
         raise TimeoutError(f"no success in {MAX_ATTEMPTS} attempts")
 
     def read(self, call: Callable[[int], tuple[bool, int | None] | None]) -> int:
-        """The first node that answers at all; a plain read follows no hints and keeps the guess as it is."""
+        """The first node that answers at all; a plain read follows no hints, and the node that answered is asked next."""
         for _ in range(MAX_ATTEMPTS):
             node = self.target()
             if node is None:
                 raise LookupError("no nodes are known")
             if call(node) is not None:
+                self.guess = node
                 return node
             self.turn, self.guess = self.turn + 1, None
         raise TimeoutError(f"no answer in {MAX_ATTEMPTS} attempts")

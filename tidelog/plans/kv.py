@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.bytes import bloom_bits, bloom_positions, encode_record, fnv1a64, record_length
+from tidelog.functions.bytes import bloom_bits, bloom_positions, encode_record, record_length
 from tidelog.operators import bloom, fold, runs
 from tidelog.operators.blocked import prefix_sum
 from tidelog.plans import fixtures as X
@@ -141,8 +141,9 @@ def _m(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bloom_positions_(spark: SparkSession, d: str) -> DataFrame:
-    each = X.bloom_questions(spark, d).join(F.broadcast(_m(spark, d)))
-    return each.select("key", F.posexplode(bloom_positions(fnv1a64(F.col("key")), F.col("m"))).alias("i", "pos"))
+    each = bloom.hashes(X.bloom_questions(spark, d)).join(F.broadcast(_m(spark, d)))
+    halves = F.struct(F.col("h2").alias("high"), F.col("h1").alias("low"))
+    return each.select("key", F.posexplode(bloom_positions(halves, F.col("m"))).alias("i", "pos"))
 
 
 def bloom_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +152,7 @@ def bloom_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
-    return bloom.probe(bloom.set_bits(X.bloom_keys(spark, d)), X.bloom_questions(spark, d))
+    return bloom.probe(bloom.packed(X.bloom_keys(spark, d)), X.bloom_questions(spark, d))
 
 
 def bloom_skip(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +161,7 @@ def bloom_skip(spark: SparkSession, d: str) -> DataFrame:
     # The generations are the entries of a manifest, eight of them here.
     gens = F.array(*[F.lit(g) for g in range(X.N_GENS)])
     asked = X.bloom_questions(spark, d).select("key", F.explode(gens).alias("gen"))
-    answers = bloom.probe(bloom.set_bits(keyed, ["gen"]), asked, ["gen"])
+    answers = bloom.probe(bloom.packed(keyed, ["gen"]), asked, ["gen"])
     return answers.groupBy("key").agg(F.count_if("maybe").alias("runs_read"), F.count_if(~F.col("maybe")).alias("runs_skipped"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,11 @@ from tidelog.streaming import apply
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    path = shared_path(spark, name).removeprefix("file://")
+    """A fresh folder for the byte formats, which read and write plain files: it must be on a mount of all executors."""
+    path = shared_path(spark, name)
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"the formats wal and sst need a mounted folder, not {path}")
+    path = path.removeprefix("file://")
     os.makedirs(path, exist_ok=True)
     return path
 
@@ -30,17 +33,30 @@ def wal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.format("wal").load(path).select("kind", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-def sst_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Every generation written as a run file and read again."""
+def _run_files(spark: SparkSession, d: str) -> str:
+    """The folder of a run file for each generation."""
     register(spark)
     path = _folder(spark, "sst")
     rows = _runs(spark, d).select("gen", "kind", F.concat(F.lit("key"), F.col("key").cast("string")).alias("key"), F.when(F.col("kind") == 0, F.concat(F.lit("v"), F.col("seq").cast("string"))).alias("value"))
     # A partition is a file, so each generation is given its own by number: the files are numbered in this order.
     rows.repartitionById(X.N_GENS, F.col("gen")).select("kind", "key", "value").write.format("sst").mode("append").save(path)
-    back = spark.read.format("sst").load(path)
+    return path
+
+
+def sst_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every generation written as a run file and read again."""
+    back = spark.read.format("sst").load(_run_files(spark, d))
     return back.select("kind", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def sst_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """(gen, kind, value): what every run file says about two keys, one of which no file has; filters, indexes and single
+    records are read."""
+    keys = [b"key7", b"key-none"]
+    held = spark.read.format("sst").load(_run_files(spark, d)).filter(F.col("key").isin(*[F.lit(k) for k in keys]))
+    return held.select((F.col("gen") - 1).cast("int").alias("gen"), "kind", F.col("value").cast("string").alias("value"))
+
+
 def store_state(spark: SparkSession, d: str) -> DataFrame:
     """The mutation log appended to a store in eight batches, with flushes and compactions in between."""
     store = Store(spark, shared_path(spark, "store"), auto_flush=False)
@@ -65,11 +81,9 @@ def stream_apply(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """(start, event_type, n): events per hour, from the stream's complete result."""
-    name = "windows_" + os.path.basename(tempfile.mktemp())
     counted = apply.event_windows(apply.read_table(spark, d, "events"))
-    query = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    done = apply.complete(counted, shared_path(spark, "windows"))
+    return done.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def events_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -78,11 +92,12 @@ def events_sessions(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-QUERIES = {f.__name__: f for f in (wal_roundtrip, sst_roundtrip, store_state, stream_apply, stream_windows, events_sessions)}
+QUERIES = {f.__name__: f for f in (wal_roundtrip, sst_roundtrip, sst_lookup, store_state, stream_apply, stream_windows, events_sessions)}
 
 SQL = {
     "wal_roundtrip": f"WITH {_TEXTS} SELECT kind, key, CASE WHEN kind = 0 THEN value END AS value FROM texts",
     "sst_roundtrip": f"WITH {X.RUNS_SQL} SELECT kind, 'key' || key AS key, CASE WHEN kind = 0 THEN 'v' || seq END AS value FROM kvruns",
+    "sst_lookup": f"WITH {X.RUNS_SQL} SELECT gen, kind, CASE WHEN kind = 0 THEN 'v' || seq END AS value FROM kvruns WHERE key = 7",
     "store_state": f"WITH {X.LOG_SQL} SELECT key, value FROM state",
     "stream_apply": f"WITH {X.LOG_SQL} SELECT key, value FROM state",
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -11,7 +11,10 @@ from tidelog.operators.runs import same_state
 from tidelog.plans import fixtures as X
 from tidelog.session import table
 
-PEER_LISTS = ("0=127.0.0.1:9000,1=127.0.0.1:9001", " 3 = a:1 , ,4=b:2,", "", " , ", "127.0.0.1:9000", "x=a:1", "1=", "1=a:1,1=b:2", "2=h:1,2", "-1=z:9", "1=a=b:3")
+PEER_LISTS = (
+    "11=store-a.example:7400,14=store-b.example:7401,12=store-c.example:7400", " 6 = left:70 , ,8=right:71", "", " , , ", "store-a.example:7400", "north=left:70",
+    "5=", "4=left:70,9=right:71,4=right:72", "3=left:70,5", "-8=left:70", "+2=a=b:70",
+)
 
 
 def raft_quorum(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 
@@ -118,22 +121,24 @@ def encode_run(rows: list[tuple[int, bytes, bytes | None]]) -> bytes:
     return b"".join(data) + index_bytes + filter_bytes + footer
 
 
-def run_sections(data: bytes) -> tuple[int, int, int, int]:
-    """(index offset, index length, filter offset, filter length); raises ValueError if the file is no run."""
-    if len(data) < FOOTER.size:
+def _sections(footer: bytes, size: int) -> tuple[int, int, int, int]:
+    if size < FOOTER.size:
         raise ValueError("shorter than a footer")
-    *sections, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+    *sections, magic = FOOTER.unpack(footer)
     index_at, index_len, filter_at, filter_len = sections
-    if magic != MAGIC or index_at + index_len != filter_at or filter_at + filter_len + FOOTER.size != len(data):
+    if magic != MAGIC or index_at + index_len != filter_at or filter_at + filter_len + FOOTER.size != size:
         raise ValueError("not a run file")
     return index_at, index_len, filter_at, filter_len
 
 
-def run_index(data: bytes) -> list[tuple[bytes, int]]:
-    """(key, offset) of each record of a run file."""
-    at, length, _, _ = run_sections(data)
-    end, out = at + length, []
-    while at < end:
+def run_sections(data: bytes) -> tuple[int, int, int, int]:
+    """(index offset, index length, filter offset, filter length); raises ValueError if the file is no run."""
+    return _sections(data[-FOOTER.size :], len(data))
+
+
+def _entries(data: bytes) -> list[tuple[bytes, int]]:
+    at, out = 0, []
+    while at < len(data):
         (n,) = LENGTH.unpack_from(data, at)
         key = data[at + 4 : at + 4 + n]
         out.append((key, struct.unpack_from(">Q", data, at + 4 + n)[0]))
@@ -141,14 +146,41 @@ def run_index(data: bytes) -> list[tuple[bytes, int]]:
     return out
 
 
+def run_index(data: bytes) -> list[tuple[bytes, int]]:
+    """(key, offset) of each record of a run file."""
+    at, length, _, _ = run_sections(data)
+    return _entries(data[at : at + length])
+
+
+def run_lookup(f: BinaryIO, keys: Iterable[bytes]) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+    """(offset, kind, key, value) of each of the keys that an open run file has.
+
+    Read are the footer and the filter; where the filter does not deny all keys the index, and then one record a key.
+    """
+    size = f.seek(0, os.SEEK_END)
+    f.seek(max(0, size - FOOTER.size))
+    index_at, index_len, filter_at, filter_len = _sections(f.read(FOOTER.size), size)
+    f.seek(filter_at)
+    wanted = sorted(set(keys))
+    if not wanted:
+        return
+    maybe = bloom_test(wanted, *decode_bloom(f.read(filter_len)))
+    wanted = [k for k, m in zip(wanted, maybe) if m]
+    if not wanted:
+        return
+    f.seek(index_at)
+    index = _entries(f.read(index_len))
+    for key in wanted:
+        at = bisect_left(index, key, key=lambda e: e[0])
+        if at < len(index) and index[at][0] == key:
+            begin, end = index[at][1], index[at + 1][1] if at + 1 < len(index) else index_at
+            f.seek(begin)
+            _, kind, _, value = next(records(f.read(end - begin)))
+            yield begin, kind, key, value
+
+
 def run_get(data: bytes, key: bytes) -> tuple[int, bytes | None] | None:
-    """(kind, value) of a key in a run file, or None: filter, then binary search in the index, then one record."""
-    _, _, filter_at, filter_len = run_sections(data)
-    if not bloom_test([key], *decode_bloom(data[filter_at : filter_at + filter_len]))[0]:
-        return None
-    index = run_index(data)
-    at = bisect_left(index, key, key=lambda e: e[0])
-    if at == len(index) or index[at][0] != key:
-        return None
-    _, kind, _, value = next(records(data, index[at][1]))
-    return kind, value
+    """(kind, value) of a key in the bytes of a run file, or None."""
+    for _, kind, _, value in run_lookup(io.BytesIO(data), [key]):
+        return kind, value
+    return None

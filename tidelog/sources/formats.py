@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tidelog.sources import codec
@@ -53,10 +53,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if partition.number < 0:
             return
-        with open(partition.path, "rb") as f:
-            data = f.read()
         held: list[tuple] = []
-        for row in self.rows(data, partition.path, partition.number):
+        for row in self.file_rows(partition):
             held.append(row)
             if len(held) == ROWS:
                 yield self._batch(held)
@@ -64,6 +62,11 @@ class _Reader(DataSourceReader):
         if held:
             yield self._batch(held)
 
+    def file_rows(self, partition: _File) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            data = f.read()
+        yield from self.rows(data, partition.path, partition.number)
+
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -93,9 +96,40 @@ class _WalReader(_Reader):
 
 
 class _SstReader(_Reader):
-    """`gen` is the number in the file's name. A file without a sound footer is an error."""
+    """`gen` is the number in the file's name. A file without a sound footer is an error.
+
+    Filters key = ..., key IN (...) and gen = ... are taken over: files of other generations are not opened, and of the
+    others only the footer and the filter are read, the index and single records where the filter may hold a key.
+    """
 
     suffix = ".sst"
+    keys: frozenset[bytes] | None = None
+    gens: frozenset[int] | None = None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            values = [f.value] if isinstance(f, (EqualTo, EqualNullSafe)) else f.value if isinstance(f, In) else None
+            name = f.attribute[0] if values is not None and len(f.attribute) == 1 else None
+            if name == "key" and all(isinstance(v, (bytes, bytearray)) for v in values):
+                wanted = frozenset(bytes(v) for v in values)
+                self.keys = wanted if self.keys is None else self.keys & wanted
+            elif name == "gen" and all(isinstance(v, int) for v in values):
+                self.gens = frozenset(values) if self.gens is None else self.gens & frozenset(values)
+            else:
+                yield f
+
+    def partitions(self):
+        found = super().partitions()
+        kept = [p for p in found if p.number < 0 or self.gens is None or _order(p.path)[0] in self.gens]
+        return kept or [_File(-1, "")]
+
+    def file_rows(self, partition):
+        if self.keys is None:
+            yield from super().file_rows(partition)
+            return
+        with open(partition.path, "rb") as f:
+            for offset, kind, key, value in codec.run_lookup(f, self.keys):
+                yield _order(partition.path)[0], offset, kind, key, value
 
     def rows(self, data, path, number):
         index_at, *_ = codec.run_sections(data)
@@ -202,6 +236,7 @@ class SstSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats `wal` and `sst` known to the session."""
+    """Makes the formats `wal` and `sst` known to the session, and lets it hand filters to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WalSource)
     spark.dataSource.register(SstSource)

@@ -47,6 +47,31 @@ class Applier:
         return live(self.spark.read.parquet(f"{self.path}/rows")).select("key", "value")
 
 
+def complete(aggregated: DataFrame, path: str) -> DataFrame:
+    """The complete result of an aggregated stream after all that is there, as a table below `path`; no row passes
+    through the driver. Every micro-batch writes the whole result under its number, the last of which counts, and drops
+    the ones before the last; started again it goes on from where it ended."""
+    spark = aggregated.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers() -> list[int]:
+        root = jvm_path(f"{path}/result")
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.removeprefix("batch-")) for n in names)
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/result/batch-{number}")
+        for old in [n for n in numbers() if n < number - 1]:
+            fs.delete(jvm_path(f"{path}/result/batch-{old}"), True)
+
+    writer = aggregated.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    have = numbers()
+    if not have:
+        return spark.createDataFrame([], aggregated.schema)
+    return spark.read.schema(aggregated.schema).parquet(f"{path}/result/batch-{have[-1]}")
+
 
 def into_store(stream: DataFrame, store: Store, name: str, checkpoint: str) -> StreamingQuery:
     """Applies a stream of (seq, key, kind, value) to a store, each micro-batch once: a batch that is run again finds

@@ -1,5 +1,6 @@
 """The store: situations of overwrites, deletes, flushes, compactions, restarts and rival writers."""
 
+import json
 import random
 import threading
 
@@ -7,7 +8,7 @@ import pytest
 
 from tests.conftest import rows
 from tidelog.functions.sql import register, views
-from tidelog.store import Store
+from tidelog.store import Store, was_applied, with_applied
 from tidelog.streaming.apply import into_store
 
 
@@ -190,3 +191,42 @@ def test_sql_surface(spark, store):
     for bad in ("", "a:1", "x=a:1", "1=", "1=a,1=b"):
         with pytest.raises(Exception):
             spark.sql(f"SELECT * FROM parse_peers('{bad}')").collect()
+
+
+def test_spans_of_batches():
+    rng = random.Random(1)
+    applied, done = {}, set()
+    for _ in range(300):
+        batch = rng.choice([f"a-{rng.randrange(40)}", f"b{rng.randrange(9)}", "plain", "a-", "x-007", "x-7", "9"])
+        assert was_applied({"applied": applied}, batch) == (batch in done)
+        applied = json.loads(json.dumps(with_applied(applied, batch)))
+        done.add(batch)
+    assert sum(hi - lo + 1 for lo, hi in applied["a-"] if lo is not None) == sum(b.startswith("a-") and b != "a-" for b in done)
+    applied = {}
+    for n in range(5000):
+        applied = with_applied(applied, f"stream-{n}")
+    assert applied == {"stream-": [[0, 4999]]}
+
+
+def test_the_newest_version_is_found_without_its_note(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", auto_flush=False)
+    assert s.newest() == 0
+    for k in "abc":
+        s.put(spark.createDataFrame([(k, k)], "key string, value string"))
+    assert s.newest() == 3 == max(s.versions())
+    note = tmp_path / "s/manifests/_newest"
+    for text in ("1", "99", "x", ""):
+        for crc in tmp_path.glob("s/manifests/.*.crc"):
+            crc.unlink()
+        note.write_text(text)
+        assert s.newest() == 3
+    note.unlink()
+    assert s.newest() == 3 and s.get("c") == "c"
+
+
+def test_a_store_needs_names_that_are_taken_in_one_step(spark, monkeypatch, tmp_path):
+    # As on a file system whose scheme is not listed.
+    monkeypatch.setattr(Store, "_local", lambda self: False)
+    with pytest.raises(ValueError):
+        Store(spark, f"file://{tmp_path}/never-made")
+    assert not tmp_path.joinpath("never-made").exists()

@@ -4,6 +4,9 @@ A version is a JSON manifest that lists the layers of the store, oldest first: `
 mutations as they were appended, and `run` layers, which hold one record per key, sorted by key. A manifest is made
 under the next number only if that number does not exist yet; a writer that comes second reads again and retries.
 Readers pin a version, so they see a snapshot whatever happens after. Nothing is deleted before vacuum().
+
+This needs a file system on which a file can be given a name only if the name is free, in one step: a local one (by
+hard links) or one of RENAMES, where a rename fails if the target exists. Others, as plain object stores, are refused.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from tidelog.operators import fold
 SCHEMA = "seq bigint, kind int, key string, value string"
 FLUSH_BYTES = 4 << 20
 RETRIES = 20
+#: Schemes whose rename is one step and does not replace.
+RENAMES = ("hdfs", "viewfs", "abfs", "abfss")
 #: Bytes of one output file of a run; a run larger than this is several files, range-partitioned by key.
 RUN_FILE_BYTES = 128 << 20
 
@@ -50,6 +55,40 @@ class Conflict(RuntimeError):
     """Too many writers in the way."""
 
 
+def _numbered(batch: str) -> tuple[str, int | None]:
+    """A batch's stream and its number in it: the digits that its name ends with."""
+    stream = batch.rstrip("0123456789")
+    digits = batch[len(stream) :]
+    # A number with zeros in front would not be told from the same one without.
+    return (stream, int(digits)) if digits and str(int(digits)) == digits else (batch, None)
+
+
+def was_applied(manifest: dict, batch: str) -> bool:
+    stream, n = _numbered(batch)
+    spans = manifest.get("applied", {}).get(stream, [])
+    return [None, None] in spans if n is None else any(lo is not None and lo <= n <= hi for lo, hi in spans)
+
+
+def with_applied(applied: dict, batch: str) -> dict:
+    """`applied` with one more batch. Numbers of a stream are kept as spans, so a stream that is applied batch after batch
+    is one span, however long it runs."""
+    stream, n = _numbered(batch)
+    spans = [tuple(s) for s in applied.get(stream, [])]
+    named = [s for s in spans if s[0] is None]
+    spans = sorted(s for s in spans if s[0] is not None)
+    if n is None:
+        named = [(None, None)]
+    else:
+        spans = sorted([*spans, (n, n)])
+    joined: list[list[int]] = []
+    for lo, hi in spans:
+        if joined and lo <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], hi)
+        else:
+            joined.append([lo, hi])
+    return applied | {stream: [list(s) for s in named] + joined}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, auto_flush: bool = True, flush_bytes: int = FLUSH_BYTES):
         self.spark, self.path = spark, path.rstrip("/")
@@ -57,6 +96,8 @@ class Store:
         jvm = spark._jvm
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not self._local() and self._fs.getUri().getScheme() not in RENAMES:
+            raise ValueError(f"two writers could both win on {self._fs.getUri().getScheme()}: a store needs file or one of {RENAMES}")
         self._fs.mkdirs(self._jpath(f"{self.path}/manifests"))
 
     # -- manifests ---------------------------------------------------------------------------------------------
@@ -66,17 +107,39 @@ class Store:
         names = [f.getPath().getName() for f in found]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def newest(self) -> int:
+        """The number of the newest version, 0 if there is none: from the last one noted upwards, so the manifests need
+        not be listed."""
+        note = self._jpath(f"{self.path}/manifests/_newest")
+        try:
+            at = int(self._text(note))
+        except Exception:  # not there, or being replaced: it only saves looking
+            at = 0
+        if not at or not self._fs.exists(self._jpath(self._file(at))):
+            at = max(self.versions(), default=0)
+        while self._fs.exists(self._jpath(self._file(at + 1))):
+            at += 1
+        return at
+
+    def _text(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def _note(self, version: int) -> None:
+        out = self._fs.create(self._jpath(f"{self.path}/manifests/_newest"), True)
+        out.write(bytearray(str(version).encode()))
+        out.close()
+
     def manifest(self, version: int | None = None) -> dict:
         """The manifest of a version, by default the newest at the time of the call."""
         if version is None:
-            version = max(self.versions(), default=0)
+            version = self.newest()
         if version == 0:
-            return {"version": 0, "layers": []}
-        stream = self._fs.open(self._jpath(self._file(version)))
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
+            return {"version": 0, "layers": [], "applied": {}}
+        return json.loads(self._text(self._jpath(self._file(version))))
 
     def _file(self, version: int) -> str:
         return f"{self.path}/manifests/{version:020d}.json"
@@ -102,7 +165,7 @@ class Store:
                 won = False
             self._fs.delete(draft, False)
             return won
-        won = not self._fs.exists(target) and self._fs.rename(draft, target)
+        won = self._fs.rename(draft, target)
         if not won:
             self._fs.delete(draft, False)
         return won
@@ -119,6 +182,7 @@ class Store:
                 return now["version"]
             new["version"] = now["version"] + 1
             if self._publish(new):
+                self._note(new["version"])
                 return new["version"]
             time.sleep(0.01 * (attempt + 1))
         raise Conflict(f"no version published in {RETRIES} attempts")
@@ -145,8 +209,8 @@ class Store:
         Rows without a key are ignored; a delete stores no value, a put without one stores an empty one. `batch` names
         the batch: one that was appended before is not appended again, which makes retries safe. The new version.
         """
-        if batch is not None and any(batch in layer.get("batches", ()) for layer in self.manifest()["layers"]):
-            return self.manifest()["version"]
+        if batch is not None and was_applied(now := self.manifest(), batch):
+            return now["version"]
         rows = mutations.filter(F.col("key").isNotNull())
         dead = F.col("kind") == 1
         value = F.when(~dead, F.coalesce(F.col("value").cast("string"), F.lit("")))
@@ -161,9 +225,11 @@ class Store:
             return self.manifest()["version"]
 
         def change(m: dict) -> dict | None:
-            if batch is not None and any(batch in x.get("batches", ()) for x in m["layers"]):
-                return None
-            m["layers"].append(layer | {"type": "tail", "batches": [batch] if batch is not None else []})
+            if batch is not None:
+                if was_applied(m, batch):
+                    return None
+                m["applied"] = with_applied(m.get("applied", {}), batch)
+            m["layers"].append(layer | {"type": "tail"})
             return m
 
         version = self._change(change)
@@ -206,8 +272,7 @@ class Store:
         if not tail:
             return m["version"]
         rows = fold.newest_per_key(self._layers(tail), order=["layer", "seq"]).select("seq", "kind", "key", "value")
-        batches = sorted({b for x in tail for b in x.get("batches", ())})
-        run = self._write(self._sorted(rows, self._tail_bytes(m)), True) | {"type": "run", "batches": batches}
+        run = self._write(self._sorted(rows, self._tail_bytes(m)), True) | {"type": "run"}
         return self._replace(tail, run)
 
     def compact(self) -> int:
@@ -217,8 +282,7 @@ class Store:
         if len(runs) < 2:
             return m["version"]
         rows = fold.live(self._layers(runs), order=["layer", "seq"]).select("seq", "kind", "key", "value")
-        batches = sorted({b for x in runs for b in x.get("batches", ())})
-        run = self._write(self._sorted(rows, sum(x["bytes"] for x in runs)), True) | {"type": "run", "batches": batches}
+        run = self._write(self._sorted(rows, sum(x["bytes"] for x in runs)), True) | {"type": "run"}
         return self._replace(runs, run)
 
     def vacuum(self) -> int:

@@ -246,3 +246,30 @@ def test_history_and_reads(spark):
     assert rows(fold.missing(df, asked)) == [("q",)]
     assert [r.position for r in fold.positioned(df.select("seq"), ["seq"]).orderBy("seq").collect()] == [0, 1, 2, 3, 4]
     assert fold.live(df.limit(0)).count() == 0 and fold.positioned(df.limit(0), ["seq"]).count() == 0
+
+
+def test_offsets_of_large_and_small_runs(spark):
+    rng = random.Random(5)
+    data = [(g, f"k{i:04d}", 0, "v" * rng.randrange(20)) for g, n in ((1, 400), (2, 1), (3, 30)) for i in rng.sample(range(1000), n)]
+    got = {(r.gen, r.key): r.offset for r in runs.index(spark.createDataFrame(data, "gen int, key string, kind int, value string")).collect()}
+    want, at = {}, {}
+    for g, k, _, v in sorted(data):
+        want[g, k] = at.get(g, 0)
+        at[g] = want[g, k] + 9 + len(k) + len(v)
+    assert got == want
+
+
+@pytest.mark.parametrize("levels,width", [(1, 3), (2, 3), (3, 2), (2, 1000)])
+def test_running_values_on_several_levels(spark, levels, width):
+    from tidelog.operators.blocked import running
+
+    rng = random.Random(width)
+    data = [(g, o, rng.choice([None, *range(20)])) for g in "ab" for o in rng.sample(range(-30, 120), 60)]
+    df = spark.createDataFrame(data, "g string, o int, v int")
+    for how, of in (("min", min), ("max", max), ("sum", sum)):
+        for back in (False, True):
+            for own in (False, True):
+                got = {(r.g, r.o): r.x for r in running(df, ["g"], "o", "v", "x", how, back, own, width, levels).collect()}
+                for g, o, _ in data:
+                    seen = [v for g2, o2, v in data if g2 == g and v is not None and ((o2 > o if back else o2 < o) or (own and o2 == o))]
+                    assert got[g, o] == (of(seen) if seen else (0 if how == "sum" else None))

@@ -48,3 +48,13 @@ def test_materialize_and_clear(spark, tmp_path, monkeypatch):
     empty = materialize(spark.range(0), "e")
     assert empty.count() == 0 and empty.columns == ["id"]
     assert clear(spark) == 2 and not list(tmp_path.glob("tidelog/r-*"))
+
+
+def test_scratch_tables_go_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(session, "_written", [])
+    kept = materialize(spark.range(3), "kept")
+    with pytest.raises(KeyError), session.scratch(spark):
+        assert materialize(spark.range(4), "gone").count() == 4
+        raise KeyError
+    assert kept.count() == 3 and not list(tmp_path.glob("tidelog/gone-*")) and len(session._written) == 1

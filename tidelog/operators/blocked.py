@@ -1,8 +1,9 @@
 """Running aggregates over long ordered groups, computed in blocks.
 
 A window over a group that grows with the data runs in one task. Here the order column is cut into blocks of fixed
-width: the running value inside a block comes from a window over (group, block), the part before it from a window
-over one row per block.
+width: the running value inside a block comes from a window over (group, block), the part before it from one row per
+block. Those rows are cut into blocks again where a group may be the whole data, so that no window ever sees more than
+a width of rows.
 """
 
 from __future__ import annotations
@@ -15,22 +16,54 @@ from pyspark.sql import functions as F
 from tidelog.session import materialize
 
 
+#: How values are put together, and how two results are.
+_HOW = {
+    "min": (F.min, lambda a, b: F.least(a, b)),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+}
+
+
+def _outside(blocks: DataFrame, groups: Sequence[str], how: str, back: bool, width: int, levels: int) -> DataFrame:
+    """(*groups, _block, _out): for each block the aggregate of _value over the blocks before it, or behind it."""
+    put, join = _HOW[how]
+    order = F.desc("_block") if back else F.asc("_block")
+    frame = (Window.unboundedPreceding, -1)
+    if levels < 2:
+        w = Window.partitionBy(*groups).orderBy(order).rowsBetween(*frame)
+        return blocks.select(*groups, "_block", put("_value").over(w).alias("_out"))
+    cut = blocks.withColumn("_over", F.floor(F.col("_block") / F.lit(width)).cast("bigint"))
+    upper = cut.groupBy(*groups, F.col("_over").alias("_block")).agg(put("_value").alias("_value"))
+    far = _outside(upper, groups, how, back, width, levels - 1).select(*groups, F.col("_block").alias("_over"), F.col("_out").alias("_far"))
+    w = Window.partitionBy(*groups, "_over").orderBy(order).rowsBetween(*frame)
+    near = cut.withColumn("_near", put("_value").over(w)).join(far, [*groups, "_over"])
+    return near.select(*groups, "_block", join(F.col("_near"), F.col("_far")).alias("_out"))
+
+
+def running(
+    df: DataFrame, groups: Sequence[str], order: str, value: str, out: str, how: str, back: bool = False, own: bool = False, width: int = 65536, levels: int = 1
+) -> DataFrame:
+    """Adds `out`: the aggregate of `value` over the rows of the group with a smaller `order`, or a greater one if
+    `back`; with the row itself if `own`. Null where there is none.
+
+    `order` must be an integer column. Rows of one order come in any order among each other. Where groups may have more
+    than width * width rows, `levels` should be 2.
+    """
+    put, join = _HOW[how]
+    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    blocks = cut.groupBy(*groups, "_block").agg(put(value).alias("_value"))
+    far = _outside(blocks, groups, how, back, width, levels)
+    w = Window.partitionBy(*groups, "_block").orderBy(F.desc(order) if back else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    joined = cut.withColumn("_near", put(value).over(w)).join(far, [*groups, "_block"])
+    return joined.withColumn(out, join(F.col("_near"), F.col("_out"))).drop("_block", "_near", "_out")
+
+
 def suffix_min(df: DataFrame, groups: Sequence[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """Adds `out`: the least `value` among the rows of the group with a strictly greater `order`, else null.
 
     `order` must be an integer column, unique within its group.
     """
-    unbounded = (Window.unboundedPreceding, -1)
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-    blocks = cut.groupBy(*groups, "_block").agg(F.min(value).alias("_least"))
-    later = blocks.select(
-        *groups,
-        "_block",
-        F.min("_least").over(Window.partitionBy(*groups).orderBy(F.desc("_block")).rowsBetween(*unbounded)).alias("_later"),
-    )
-    inner = Window.partitionBy(*groups, "_block").orderBy(F.desc(order)).rowsBetween(*unbounded)
-    joined = cut.withColumn("_inner", F.min(value).over(inner)).join(later, [*groups, "_block"], "left")
-    return joined.withColumn(out, F.least("_inner", "_later")).drop("_block", "_inner", "_later")
+    return running(df, groups, order, value, out, "min", back=True, width=width)
 
 
 #: Entries of a block of bitmap_bucket_number().
@@ -79,13 +112,5 @@ def prefix_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, out
 
     `order` must be an integer column, unique within its group.
     """
-    before = (Window.unboundedPreceding, -1)
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-    blocks = cut.groupBy(*groups, "_block").agg(F.sum(value).alias("_sum"))
-    earlier = blocks.select(
-        *groups, "_block", F.sum("_sum").over(Window.partitionBy(*groups).orderBy("_block").rowsBetween(*before)).alias("_earlier")
-    )
-    inner = Window.partitionBy(*groups, "_block").orderBy(order).rowsBetween(*before)
-    joined = cut.withColumn("_inner", F.sum(value).over(inner)).join(earlier, [*groups, "_block"])
-    total = F.coalesce("_inner", F.lit(0)) + F.coalesce("_earlier", F.lit(0))
-    return joined.withColumn(out, total.cast("bigint")).drop("_block", "_inner", "_earlier")
+    summed = running(df, groups, order, value, out, "sum", width=width, levels=1 if groups else 2)
+    return summed.withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.bytes import record_length
 from tidelog.operators.fold import live, newest_per_key
+from tidelog.session import materialize
 
 
 def flush(log: DataFrame) -> DataFrame:
@@ -28,11 +29,22 @@ def stats(runs: DataFrame) -> DataFrame:
 
 
 def index(runs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """(gen, key, offset): where each record starts in its run's file. A run is a bounded unit, so a window over one
-    is as well."""
-    w = Window.partitionBy("gen").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    """(gen, key, offset): where each record starts in its run's file.
+
+    A run may be as large as the data after a consolidation, so it is cut into ranges of keys, each summed on its own; a
+    run's part of a range starts where its parts before it end.
+    """
     size = record_length(F.col(key).cast("string"), F.col(value).cast("string"))
-    return runs.select("gen", "key", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint").alias("offset"))
+    ranged = runs.select("gen", "key", size.alias("_size")).repartitionByRange("gen", "key").sortWithinPartitions("gen", "key")
+    kept = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy("gen", "_range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each range and each run that reaches into it.
+    parts = kept.groupBy("gen", "_range").agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy("gen").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("gen", "_range", F.sum("_sum").over(before).alias("_start"))
+    offset = F.coalesce("_start", F.lit(0)) + F.coalesce("_in", F.lit(0))
+    summed = kept.withColumn("_in", F.sum("_size").over(inside)).join(starts, ["gen", "_range"])
+    return summed.select("gen", "key", offset.cast("bigint").alias("offset"))
 
 
 def probe_depth(runs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.blocked import running
+
 ROLES = ("follower", "candidate", "leader")
 
 
@@ -24,18 +26,14 @@ def eligible(requests: DataFrame, voters: DataFrame) -> DataFrame:
 
 def granted(requests: DataFrame, voters: DataFrame, width: int = 65536) -> DataFrame:
     """(node, term, candidate, arrival): the votes given. A voter denies terms below the highest it has seen, and
-    gives one vote a term, to the first that is eligible.
+    gives one vote a term, to the first that is eligible. A repeated request of the candidate that has the vote would be
+    granted again, which changes nothing; it gives no further row here.
 
     The highest term seen is a running maximum in order of arrival. It is computed in blocks of arrivals, as the
     voters are few and the requests are not.
     """
-    rows = eligible(requests, voters).withColumn("_block", F.floor(F.col("arrival") / width).cast("bigint"))
-    tops = rows.groupBy("node", "_block").agg(F.max("term").alias("_top"))
-    before = Window.partitionBy("node").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = tops.select("node", "_block", F.max("_top").over(before).alias("_earlier"))
-    inside = Window.partitionBy("node", "_block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_inside", F.max("term").over(inside)).join(earlier, ["node", "_block"])
-    fresh = seen.filter(F.col("eligible") & (F.col("term") >= F.greatest("_inside", "_earlier")))
+    seen = running(eligible(requests, voters), ["node"], "arrival", "term", "_top", "max", own=True, width=width, levels=2)
+    fresh = seen.filter(F.col("eligible") & (F.col("term") >= F.col("_top")))
     first = Window.partitionBy("node", "term").orderBy("arrival")
     return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("node", "term", "candidate", "arrival")
 

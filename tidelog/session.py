@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _written: list[str] = []
 _own: list[str] = []
+_at_exit: list[bool] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,21 +46,50 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    if not _at_exit:
+        _at_exit.append(True)
+        atexit.register(_clear_at_exit)
     return path
 
 
+def _clear_at_exit() -> None:
+    """What a process wrote to the shared folder goes with it, as long as there is a session to delete with."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # the session is gone: the folder is the cluster's to clean, as its checkpoints are
+        pass
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the tables this process wrote to the shared folder; how many there were.
 
-    For long sessions: DataFrames made before can no longer be read.
+    A result is read from these tables when an action runs on it, so they cannot go before; they go at the end of the
+    process, or here in between, after which DataFrames made before can no longer be read. See also scratch().
     """
     n = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += int(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        n += int(_delete(spark, _written.pop()))
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to the shared folder within it: for results that are used up inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 

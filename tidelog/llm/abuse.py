@@ -21,7 +21,7 @@ from tidelog.llm import evidence as E
 from tidelog.llm import lexicon as L
 from tidelog.llm import reveal as R
 from tidelog.llm.trees import Trees, isotonic
-from tidelog.session import materialize
+from tidelog.session import materialize, scratch
 
 #: At most so many labelled documents are used to fit, the ones with the least hashes.
 LABELLED_MAX = 20_000
@@ -326,8 +326,12 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> Model:
-    """The model fitted on at most `most` labelled documents."""
-    rows = materialize(sample(documents, labels, most), "labelled")
+    """The model fitted on at most `most` labelled documents; the sample is kept on disk while it is needed."""
+    with scratch(documents.sparkSession):
+        return _fit(materialize(sample(documents, labels, most), "labelled"), most)
+
+
+def _fit(rows: DataFrame, most: int) -> Model:
     sizes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if min(sizes[1], sizes[0] - sizes[1]) < LABELLED_MIN:
         return Model(np.zeros((0, len(FEATURES))), np.full(sizes[0], sizes[1] / max(1, sizes[0])), np.zeros(0))

@@ -42,6 +42,21 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p7_containers(spark, d))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(packing, documents, over, whole): how many documents went into each packing, how many of its containers hold more
+    than their capacity, and whether the pieces have all tokens of the documents."""
+    docs = _documents(spark, d)
+    tokens = encode_texts(docs, "doc_id", "text", BYTE_BPE_50K).agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("all"))
+    packed = pack(docs, table(spark, d, "pack_sizes"), BYTE_BPE_50K)
+    bins = packed.groupBy("packing", "container").agg(
+        F.sum("n_tokens").alias("used"), F.max("capacity").alias("room"), F.count_if(F.col("piece") == 0).alias("firsts")
+    )
+    sums = bins.groupBy("packing").agg(
+        F.sum("firsts").alias("documents"), F.count_if(F.col("used") > F.col("room")).alias("over"), F.sum("used").alias("used")
+    )
+    return sums.join(F.broadcast(tokens)).select("packing", "documents", "over", (F.col("used") == F.col("all")).alias("whole"))
+
+
 def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(_documents(spark, d), table(spark, d, "labels"))
 
@@ -59,7 +74,13 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_fill, p7_checks, p8_found, p8_scores, p8_rates)
 }
 
-SQL = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+SQL = {
+    "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_checks": """
+        WITH p AS (SELECT size_name AS packing FROM pack_sizes UNION ALL SELECT 'any')
+        SELECT packing, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS over, true AS whole FROM p
+    """,
+}

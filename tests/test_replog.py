@@ -273,3 +273,26 @@ def test_running_values_on_several_levels(spark, levels, width):
                 for g, o, _ in data:
                     seen = [v for g2, o2, v in data if g2 == g and v is not None and ((o2 > o if back else o2 < o) or (own and o2 == o))]
                     assert got[g, o] == (of(seen) if seen else (0 if how == "sum" else None))
+
+
+def test_a_tick(spark):
+    states = [("c", 0, "leader", 900, 150), ("c", 1, "follower", 199, 200), ("c", 2, "candidate", 200, 200), ("c", 3, "follower", 0, 299)]
+    got = {r.node: r.action for r in votes.due(spark.createDataFrame(states, "cluster string, node int, role string, silent_ms bigint, timeout_ms int")).collect()}
+    assert got == {0: "replicate", 1: "wait", 2: "election", 3: "wait"}
+    assert [r.node for r in votes.other_nodes(spark.createDataFrame([(0,), (1,), (2,)], "node int"), 1).orderBy("node").collect()] == [0, 2]
+
+
+def test_saved_state(spark, tmp_path):
+    path = f"file://{tmp_path}/n"
+    nodes = lambda term: spark.createDataFrame([("c", 0, term, 1, 3, 2), ("c", 1, term, 1, 0, 0)], "cluster string, node int, term int, commit_idx int, snapshot_idx int, snapshot_term int")
+    logs = spark.createDataFrame([("c", 1, 1, 1), ("c", 1, 2, 4)], "cluster string, node int, idx int, term int")
+    assert messages.load(spark, path) is None
+    for term in (5, 6):
+        messages.save(nodes(term), logs, path)
+    got = messages.load(spark, path)
+    assert rows(messages.state(*got)) == [("c", 0, 6, 3, 2, 1, 3), ("c", 1, 6, 2, 4, 1, 0)]
+    # A version that was not completed does not count.
+    logs.limit(0).write.parquet(f"{path}/000000000003/logs")
+    assert rows(messages.load(spark, path)[0]) == rows(nodes(6))
+    messages.save(nodes(7), logs.limit(1), f"file://{tmp_path}/other")
+    assert messages.load(spark, f"file://{tmp_path}/other")[1].count() == 1

@@ -230,3 +230,17 @@ def test_a_store_needs_names_that_are_taken_in_one_step(spark, monkeypatch, tmp_
     with pytest.raises(ValueError):
         Store(spark, f"file://{tmp_path}/never-made")
     assert not tmp_path.joinpath("never-made").exists()
+
+
+def test_waiting_for_a_version(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    reader, writer = Store(spark, path), Store(spark, path)
+    assert reader.wait_for(0) == 0
+    with pytest.raises(TimeoutError):
+        reader.wait_for(1, 0.05)
+    at = threading.Timer(0.3, lambda: writer.put(kv(spark, ("a", "1"))))
+    at.start()
+    assert reader.wait_for(1, 60) == 1 and reader.get("a") == "1"
+    at.join()
+    with pytest.raises(TimeoutError):
+        reader.wait_for(2, 0)

@@ -8,7 +8,7 @@ the entries behind the snapshot, leaders (cluster, term, node, commit_idx, snaps
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.replog import is_majority
@@ -199,3 +199,44 @@ def compacted(logs: DataFrame, snapshots: DataFrame) -> DataFrame:
     return logs.join(snapshots.select(*NODE, "snapshot_idx"), NODE).filter(F.col("idx") > F.col("snapshot_idx")).select(
         *NODE, "idx", "term", (F.col("idx") - F.col("snapshot_idx")).alias("pos")
     )
+
+
+# -- state -----------------------------------------------------------------------------------------------------
+
+
+def state(nodes: DataFrame, logs: DataFrame) -> DataFrame:
+    """(cluster, node, term, last_idx, last_term, commit_idx, snapshot_idx): what a node tells of itself."""
+    last = logs.groupBy(*NODE).agg(F.max(F.struct("idx", "term")).alias("_last"))
+    return nodes.join(last, NODE, "left").select(
+        *NODE, "term", F.coalesce("_last.idx", "snapshot_idx").alias("last_idx"), F.coalesce("_last.term", "snapshot_term").alias("last_term"),
+        "commit_idx", "snapshot_idx",
+    )
+
+
+def save(nodes: DataFrame, logs: DataFrame, path: str) -> None:
+    """Writes what nodes must not lose, their state and logs, as one version below `path`.
+
+    A version counts when both its tables are complete: the nodes are written last, and Spark marks a complete table.
+    """
+    spark = nodes.sparkSession
+    name = f"{max(_saved(spark, path), default=0) + 1:012d}"
+    logs.select(*NODE, "idx", "term").write.mode("overwrite").parquet(f"{path}/{name}/logs")
+    nodes.write.mode("overwrite").parquet(f"{path}/{name}/nodes")
+
+
+def _saved(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete versions."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = jvm_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return [int(n) for n in names if n.isdigit() and fs.exists(jvm_path(f"{path}/{n}/nodes/_SUCCESS"))]
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, logs) of the newest complete version, or None if there is none."""
+    saved = _saved(spark, path)
+    if not saved:
+        return None
+    at = f"{path}/{max(saved):012d}"
+    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/logs")

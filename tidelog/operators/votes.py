@@ -62,6 +62,13 @@ def timeouts(nodes: DataFrame, seed: int) -> DataFrame:
     return nodes.select("node", (F.lit(low) + drawn).cast("int").alias("timeout_ms"))
 
 
+def due(states: DataFrame) -> DataFrame:
+    """(cluster, node, action): what each node does at a tick, given (cluster, node, role, silent_ms, timeout_ms): a leader
+    sends to its peers, another node stands for election once it has heard nothing for its timeout, else it waits."""
+    action = F.when(F.col("role") == "leader", "replicate").when(F.col("silent_ms") >= F.col("timeout_ms"), "election").otherwise("wait")
+    return states.select("cluster", "node", action.alias("action"))
+
+
 def role_name(role):
     """The name of a role given by number."""
     return F.coalesce(F.get(F.array(*[F.lit(r) for r in ROLES]), role), F.lit("unknown"))

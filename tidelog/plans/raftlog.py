@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import messages as M
-from tidelog.operators import replog
+from tidelog.operators import replog, votes
 from tidelog.operators.replay import committed
-from tidelog.session import materialize, table
+from tidelog.session import materialize, shared_path, table
 
 #: What is sent next: twelfths of the log, to node 1 of every other cluster what follows its first conflict.
 NEXT = "greatest(CASE WHEN node = 1 AND cluster % 2 = 1 AND conflict_idx IS NOT NULL THEN conflict_idx + 1 ELSE last_idx * element_at(array(11, 6, 11, 1, 7), node % 5 + 1) div 12 END, 1)"
@@ -169,11 +169,35 @@ def raft_compacted(spark: SparkSession, d: str) -> DataFrame:
     return M.compacted(c.kept(), M.take_snapshots(c.nodes(), c.kept(), _asked(c)))
 
 
+def raft_state(spark: SparkSession, d: str) -> DataFrame:
+    c = _Case(spark, d)
+    return M.state(c.nodes(), c.kept())
+
+
+def raft_persist(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes' state after it was saved twice and loaded again."""
+    c, path = _Case(spark, d), shared_path(spark, "nodes")
+    M.save(c.nodes().limit(1), c.kept().limit(9), path)
+    M.save(c.nodes(), c.kept(), path)
+    return M.state(*M.load(spark, path))
+
+
+def raft_due(spark: SparkSession, d: str) -> DataFrame:
+    """What nodes do at the end of the feed, each having heard of the others with its last delivery; node 0 leads."""
+    rows = table(spark, d, "replicated_log").select(F.col("cluster_id").alias("cluster"), "node", "received_at")
+    heard = rows.groupBy("cluster", "node").agg(F.max("received_at").alias("heard"))
+    now = rows.groupBy("cluster").agg(F.max("received_at").alias("now"))
+    silent = F.expr("timestampdiff(MICROSECOND, heard, now) div 1000").alias("silent_ms")
+    timeout = (F.lit(votes.TIMEOUT_MS[0]) + (F.col("node") * 37 + F.col("cluster") * 11) % (votes.TIMEOUT_MS[1] - votes.TIMEOUT_MS[0])).alias("timeout_ms")
+    role = F.when(F.col("node") == 0, "leader").otherwise("follower").alias("role")
+    return votes.due(heard.join(F.broadcast(now), "cluster").select("cluster", "node", role, silent, timeout))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         raft_commit, raft_node_match, raft_node_truncate, raft_reply, raft_snapshot_reply, raft_append_args, raft_install_args, raft_append_reply,
-        raft_appended, raft_read_index, raft_snapshot, raft_compacted,
+        raft_appended, raft_read_index, raft_snapshot, raft_compacted, raft_state, raft_persist, raft_due,
     )
 }
 
@@ -222,7 +246,16 @@ taken AS (SELECT j.*, CASE WHEN upto <= snapshot_idx THEN 'nothing' WHEN upto >
 snaps AS (SELECT t.cluster, t.node, outcome, CASE WHEN outcome = 'taken' THEN upto ELSE snapshot_idx END AS snapshot_idx, CASE WHEN outcome = 'taken' THEN k.term ELSE snapshot_term END AS snapshot_term
     FROM taken t LEFT JOIN kept k ON k.cluster = t.cluster AND k.node = t.node AND k.idx = t.upto)"""
 
+_STATE = f"""WITH {_NODES}, l AS (SELECT cluster, node, max(idx) AS last_idx, arg_max(term, idx) AS last_term FROM kept GROUP BY cluster, node)
+        SELECT n.cluster, n.node, n.term, coalesce(l.last_idx, n.snapshot_idx) AS last_idx, coalesce(l.last_term, n.snapshot_term) AS last_term, n.commit_idx, n.snapshot_idx
+        FROM nodes n LEFT JOIN l ON l.cluster = n.cluster AND l.node = n.node"""
+
 SQL = {
+    "raft_state": _STATE,
+    "raft_persist": _STATE,
+    "raft_due": """WITH h AS (SELECT cluster_id AS cluster, node, max(received_at) AS heard FROM replicated_log GROUP BY 1, 2),
+        n AS (SELECT *, max(heard) OVER (PARTITION BY cluster) AS now FROM h)
+        SELECT cluster, node, CASE WHEN node = 0 THEN 'replicate' WHEN date_diff('microsecond', heard, now) // 1000 >= 150 + (node * 37 + cluster * 11) % 150 THEN 'election' ELSE 'wait' END AS action FROM n""",
     "raft_commit": f"""WITH {_LED}, r AS (SELECT cluster, match_idx, row_number() OVER (PARTITION BY cluster ORDER BY match_idx DESC) AS rk, count(*) OVER (PARTITION BY cluster) AS n FROM held)
         SELECT l.cluster, l.term, max(l.idx) AS commit_idx FROM led l JOIN r ON r.cluster = l.cluster AND r.rk = r.n // 2 + 1 WHERE l.idx <= r.match_idx GROUP BY l.cluster, l.term""",
     "raft_node_match": f"WITH {_LED} SELECT * FROM held",

@@ -344,6 +344,15 @@ class Store:
         value = self.get(key, version)
         return Result(True, found=value is not None, value=value)
 
+    def wait_for(self, version: int, seconds: float = 2.0) -> int:
+        """The newest version once it is at least `version`, as others publish it; a TimeoutError after `seconds`."""
+        end = time.monotonic() + seconds
+        while (now := self.newest()) < version:
+            if time.monotonic() >= end:
+                raise TimeoutError(f"version {version} was not published within {seconds} s, the newest is {now}")
+            time.sleep(0.01)
+        return now
+
     def close(self) -> None:
         """Nothing is held between calls, so there is nothing to release; the tail stays a tail."""
 

@@ -166,6 +166,20 @@ def test_consolidation_by_ranges_and_from_scratch_files(spark, monkeypatch, merg
     assert {r.file_id for r in C.live_files(both).collect()} == {r.file_id for r in new.values()}
 
 
+@pytest.mark.parametrize("merge_bytes", [C.MERGE_BYTES, 1])
+def test_consolidation_of_nulls_and_clashing_names(spark, merge_bytes):
+    schema = RUNS + ", range int, listing string, part string"
+    row = lambda f, c, k, s, size: (f, c, 1, k, 0, "v", s, 0, size, 5, 9, "x", "y")
+    data = [row(1, None, "a", 1, 11), row(1, None, "a", 1, 11), row(2, 0, None, 2, None), row(2, 0, "a", None, 11), row(1, 0, "", 3, 10), row(None, 0, "z", 4, 11), row(3, 0, "z", 5, 11)]
+    listings = spark.createDataFrame([(1, "live", 1), (1, None, None), (2, "live", None), (3, "tmp", 7), (None, "live", 9), (4, "live", 1)], LISTINGS)
+    done, made = C.consolidate_files(spark.createDataFrame(data, schema).repartition(3), listings, 25, merge_bytes=merge_bytes)
+    assert rows(done.select("cluster_id", "key", "seq")) == sorted([(None, "a", 1), (0, None, 2), (0, "a", None), (0, "", 3)], key=repr)
+    new = made.filter("file_state = 'live'").collect()
+    assert sum(r.n_records for r in new) == 4 and {r.cluster_id for r in new} == {None, 0}
+    both = listings.unionByName(made.select(*listings.columns))
+    assert {r.file_id for r in C.live_files(both).collect()} == {r.file_id for r in new}
+
+
 def test_ranges_come_from_bytes_and_cores():
     assert [C.ranges_for(n << 20, 6) for n in (0, 1, 8, 40, 400, 4000)] == [1, 1, 2, 10, 12, 63]
     assert C.ranges_for(1 << 47, 6) == C.RANGES_MAX

@@ -86,7 +86,7 @@ def order_keys(rows: pa.Table) -> list[tuple]:
 
     Strings compare by code point, as their UTF-8 bytes do.
     """
-    cluster = rows["cluster_id"].fill_null(_LEAST).to_pylist() if rows["cluster_id"].type == pa.int64() else [_LEAST if c is None else c for c in rows["cluster_id"].to_pylist()]
+    cluster = [_LEAST if c is None else c for c in rows["cluster_id"].to_pylist()]
     key = rows["key"].to_pylist()
     return [(c, k is not None, k or "", _LEAST if s is None else s) for c, k, s in zip(cluster, key, rows["seq"].to_pylist())]
 

@@ -296,3 +296,33 @@ def test_saved_state(spark, tmp_path):
     assert rows(messages.load(spark, path)[0]) == rows(nodes(6))
     messages.save(nodes(7), logs.limit(1), f"file://{tmp_path}/other")
     assert messages.load(spark, f"file://{tmp_path}/other")[1].count() == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_proposals_are_numbered_in_order(spark, n):
+    rng = random.Random(n)
+    seqs = rng.sample(range(200_000), n)
+    commands = [(rng.choice("aab"), q, q % 3, q) for q in seqs]
+    leaders = spark.createDataFrame([("a", 4, 10), ("b", 2, 0), ("c", 1, 5)], "cluster string, term int, last_idx int")
+    got = rows(replog.propose(leaders, spark.createDataFrame(commands, "cluster string, seq bigint, origin int, cmd_id bigint")))
+    want = []
+    for c, term, last in (("a", 4, 10), ("b", 2, 0)):
+        want += [(c, last + i + 1, term, q % 3, q) for i, q in enumerate(sorted(q for k, q, _, _ in commands if k == c))]
+    assert got == sorted(want, key=repr)
+
+
+def test_what_is_sent_next(spark):
+    leaders = spark.createDataFrame([("c", 3)], "cluster string, snapshot_idx int")
+    end = spark.createDataFrame([("c", 8)], "cluster string, last_idx int")
+    held = spark.createDataFrame([("c", n, 0, x) for n, x in enumerate([9, 8, 4, 3, 1, 11])], "cluster string, node int, match_idx int, next_idx int")
+    got = [tuple(r)[2:] for r in messages.send_plan(leaders, end, held).orderBy("node").collect()]
+    assert got == [(9, "heartbeat", 0), (8, "append", 1), (4, "append", 5), (3, "snapshot", 0), (1, "snapshot", 0), (11, "heartbeat", 0)]
+
+
+def test_restart_and_installing_snapshots(spark):
+    cols = "node int, term int, voted_for int, role string, leader int, commit_idx int, applied_idx int, snapshot_idx int"
+    held = spark.createDataFrame([(n, 5, 1, "leader", 1, 9, 8, 6) for n in range(4)], cols)
+    assert rows(replog.restart(held.filter("node = 0"))) == [(0, 5, 1, "follower", None, 6, 6, 6)]
+    sent = spark.createDataFrame([(0, 4, 20), (1, 5, 6), (2, 7, 3), (3, 6, 20)], "node int, term int, snapshot_idx int")
+    got = rows(replog.install_snapshot(held, sent))
+    assert got == [(0, 5, 9, 8, 6, False), (1, 5, 9, 8, 6, True), (2, 7, 9, 8, 6, True), (3, 6, 20, 20, 20, True)]

@@ -31,6 +31,17 @@ def new_progress(logs_end: DataFrame, members: DataFrame) -> DataFrame:
 # -- the leader's messages -------------------------------------------------------------------------------------
 
 
+def send_plan(leaders: DataFrame, logs_end: DataFrame, progress: DataFrame) -> DataFrame:
+    """(cluster, node, next_idx, action, n_entries): what a leader sends to each node next: a snapshot where the next entry
+    is no longer in its log, else what it has from there on, which may be nothing. `logs_end`: (cluster, last_idx)."""
+    lead = F.broadcast(leaders.select("cluster", "snapshot_idx").join(logs_end.select("cluster", "last_idx"), "cluster"))
+    rows = progress.join(lead, "cluster")
+    snap = F.col("next_idx") <= F.col("snapshot_idx")
+    n = F.when(snap, 0).otherwise(F.greatest(F.col("last_idx") - F.col("next_idx") + 1, F.lit(0)))
+    action = F.when(snap, "snapshot").when(n > 0, "append").otherwise("heartbeat")
+    return rows.select(*NODE, F.col("next_idx").cast("bigint").alias("next_idx"), action.alias("action"), n.cast("bigint").alias("n_entries"))
+
+
 def append_args(leaders: DataFrame, log: DataFrame, progress: DataFrame) -> DataFrame:
     """(cluster, node, term, prev_idx, prev_term, first_idx, n_entries, leader_commit): the message to each node whose
     next entry the leader's log still has; the others need a snapshot. `log`: (cluster, idx, term).

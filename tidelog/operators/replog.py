@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.blocked import running
+
 
 def is_majority(votes: Column, size: Column) -> Column:
     return votes * 2 > size
@@ -77,24 +79,15 @@ def rejections(leader: DataFrame, replicas: DataFrame) -> DataFrame:
     return match(leader, replicas).join(F.broadcast(last)).select("node", (F.col("_last") - F.col("match_idx")).alias("rejections"))
 
 
-def send_plan(progress: DataFrame, snapshot_idx: int, last_idx: int) -> DataFrame:
-    """(cluster, node, next_idx, action, n_entries): what a leader sends to each peer next."""
-    nxt = F.col("match_idx") + 1
-    snap = nxt <= snapshot_idx
-    entries = F.when(snap, 0).otherwise(F.greatest(F.lit(last_idx) - nxt + 1, F.lit(0)))
-    action = F.when(snap, "snapshot").when(entries > 0, "append").otherwise("heartbeat")
-    return progress.select("cluster", "node", nxt.alias("next_idx"), action.alias("action"), entries.cast("bigint").alias("n_entries"))
-
-
-def propose(log: DataFrame, commands: DataFrame, term: int) -> DataFrame:
-    """(idx, term, cmd_id): the log with the commands (seq, cmd_id) of a leader of `term` behind its last entry.
+def propose(leaders: DataFrame, commands: DataFrame) -> DataFrame:
+    """(cluster, idx, term, origin, cmd_id): the entries that leaders (cluster, term, last_idx) append for commands
+    (cluster, seq, origin, cmd_id), in order of seq behind their last entry.
 
-    The commands of one batch are numbered by a window over the batch, which is what a leader takes at a time.
+    Commands are numbered in blocks of seq, so the batch of one leader may be of any size.
     """
-    last = log.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("_last"))
-    at = F.row_number().over(Window.orderBy("seq"))
-    new = commands.select("cmd_id", at.alias("_at")).join(F.broadcast(last))
-    return new.select((F.col("_last") + F.col("_at")).alias("idx"), F.lit(term).cast("bigint").alias("term"), "cmd_id")
+    numbered = running(commands.withColumn("_one", F.lit(1)), ["cluster"], "seq", "_one", "_at", "sum", own=True, levels=2)
+    lead = F.broadcast(leaders.select("cluster", F.col("term").cast("bigint").alias("term"), "last_idx"))
+    return numbered.join(lead, "cluster").select("cluster", (F.col("last_idx") + F.col("_at")).alias("idx"), "term", "origin", "cmd_id")
 
 
 def lag(progress: DataFrame) -> DataFrame:
@@ -131,21 +124,22 @@ def follower_commit(leader_commit: int, logs: DataFrame) -> DataFrame:
 
 
 def restart(state: DataFrame) -> DataFrame:
-    """The state of nodes after a restart. `state`: (node, term, voted_for, role, leader, commit_idx, applied_idx,
+    """The state of nodes after a restart. `state`: ([cluster,] node, term, voted_for, role, leader, commit_idx, applied_idx,
     snapshot_idx); term, vote and snapshot are durable, the rest begins anew, commit and applied at the snapshot."""
     return state.select(
-        "node", "term", "voted_for", F.lit("follower").alias("role"), F.lit(None).cast("int").alias("leader"),
+        *_shared(state), "node", "term", "voted_for", F.lit("follower").alias("role"), F.lit(None).cast("int").alias("leader"),
         F.col("snapshot_idx").alias("commit_idx"), F.col("snapshot_idx").alias("applied_idx"), "snapshot_idx",
     )
 
 
 def install_snapshot(state: DataFrame, messages: DataFrame) -> DataFrame:
-    """(node, term, commit_idx, applied_idx, snapshot_idx, accepted): each node after a snapshot message
-    (node, term, snapshot_idx). One of an older term is rejected, one that is not newer than the node's own snapshot
-    changes nothing but the term; else the node's whole log gives way to the snapshot."""
-    sent = messages.select("node", F.col("term").alias("_t"), F.col("snapshot_idx").alias("_s"))
-    joined = state.join(sent, "node")
+    """([cluster,] node, term, commit_idx, applied_idx, snapshot_idx, accepted): each node after a snapshot message
+    ([cluster,] node, term, snapshot_idx). One of an older term is rejected, one that is not newer than the node's own
+    snapshot changes nothing but the term; else the node's whole log gives way to the snapshot."""
+    on = [*_shared(state), "node"]
+    sent = messages.select(*on, F.col("term").alias("_t"), F.col("snapshot_idx").alias("_s"))
+    joined = state.join(sent, on)
     current = F.col("_t") >= F.col("term")
     newer = current & (F.col("_s") > F.col("snapshot_idx"))
     take = lambda c: F.when(newer, F.col("_s")).otherwise(F.col(c)).alias(c)
-    return joined.select("node", F.greatest("term", "_t").alias("term"), take("commit_idx"), take("applied_idx"), take("snapshot_idx"), current.alias("accepted"))
+    return joined.select(*on, F.greatest("term", "_t").alias("term"), take("commit_idx"), take("applied_idx"), take("snapshot_idx"), current.alias("accepted"))

@@ -70,6 +70,18 @@ def store_state(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select(F.col("key").cast("bigint").alias("key"), F.col("value").cast("double").alias("value"))
 
 
+def store_auto_flush(spark: SparkSession, d: str) -> DataFrame:
+    """The mutation log appended in four batches to a store that flushes by itself, read by another one, closed and opened."""
+    path = shared_path(spark, "store")
+    log = X.generations(spark, d).select("seq", "kind", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "gen")
+    store = Store(spark, path, flush_bytes=1 << 14)
+    for g in range(4):
+        store.append(log.filter((F.col("gen") / 2).cast("int") == g), order="seq", batch=f"half-{g}")
+    store.close()
+    again = Store(spark, path)
+    return again.read(again.wait_for(1)).select(F.col("key").cast("bigint").alias("key"), F.col("value").cast("double").alias("value"))
+
+
 def stream_apply(spark: SparkSession, d: str) -> DataFrame:
     stream = apply.read_table(spark, d, "events")
     dies = F.col("event_type") == "error"
@@ -92,13 +104,14 @@ def events_sessions(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-QUERIES = {f.__name__: f for f in (wal_roundtrip, sst_roundtrip, sst_lookup, store_state, stream_apply, stream_windows, events_sessions)}
+QUERIES = {f.__name__: f for f in (wal_roundtrip, sst_roundtrip, sst_lookup, store_state, store_auto_flush, stream_apply, stream_windows, events_sessions)}
 
 SQL = {
     "wal_roundtrip": f"WITH {_TEXTS} SELECT kind, key, CASE WHEN kind = 0 THEN value END AS value FROM texts",
     "sst_roundtrip": f"WITH {X.RUNS_SQL} SELECT kind, 'key' || key AS key, CASE WHEN kind = 0 THEN 'v' || seq END AS value FROM kvruns",
     "sst_lookup": f"WITH {X.RUNS_SQL} SELECT gen, kind, CASE WHEN kind = 0 THEN 'v' || seq END AS value FROM kvruns WHERE key = 7",
     "store_state": f"WITH {X.LOG_SQL} SELECT key, value FROM state",
+    "store_auto_flush": f"WITH {X.LOG_SQL} SELECT key, value FROM state",
     "stream_apply": f"WITH {X.LOG_SQL} SELECT key, value FROM state",
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "events_sessions": """

@@ -10,8 +10,6 @@ from tidelog.session import table
 N_GENS = 8
 #: (node, last_term, last_index) of the voters.
 VOTERS = ((0, 3, 500), (1, 2, 900), (2, 6, 10), (3, 4, 400), (4, 5, 700))
-#: Percent of the log each node of a cluster holds; one cluster of five nodes, one of four.
-PROGRESS = (("five", 0, 100), ("five", 1, 94), ("five", 2, 81), ("five", 3, 70), ("five", 4, 69), ("four", 0, 100), ("four", 1, 88), ("four", 2, 60), ("four", 3, 12))
 #: Percent of the log up to which a replica agrees with the leader, and percent it has in all.
 REPLICAS = ((1, 100, 100), (2, 75, 100), (3, 40, 90), (4, 55, 55), (5, 0, 30))
 
@@ -40,12 +38,6 @@ def log_entries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def progress(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").count()
-    rows = [(c, node, n * p // 100) for c, node, p in PROGRESS]
-    return spark.createDataFrame(rows, "cluster string, node int, match_idx bigint")
-
-
 def replicas(spark: SparkSession, d: str) -> DataFrame:
     """(node, idx, term): replicas that follow the leader up to a point and have other terms beyond it."""
     n = table(spark, d, "events").count()
@@ -108,12 +100,6 @@ genrows AS (SELECT *, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC
 kvruns AS (SELECT gen, key, kind, value, seq FROM genrows WHERE rn = 1),
 merged AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gen DESC) AS pos FROM kvruns)"""
 ENTRIES_SQL = "entries AS (SELECT event_id + 1 AS idx, 1 + event_id // 700 AS term, event_id AS cmd_id FROM events)"
-PROGRESS_SQL = f"""progress AS (SELECT cluster, CAST(node AS INTEGER) AS node, n * p // 100 AS match_idx
-    FROM (VALUES {_values(PROGRESS)}) v(cluster, node, p), (SELECT count(*) AS n FROM events) c)"""
-QUORUM_SQL = f"""{PROGRESS_SQL},
-ranked AS (SELECT cluster, match_idx, row_number() OVER (PARTITION BY cluster ORDER BY match_idx DESC, node) AS rk,
-    count(*) OVER (PARTITION BY cluster) AS size FROM progress),
-quorum AS (SELECT cluster, match_idx AS quorum_idx FROM ranked WHERE rk = size // 2 + 1)"""
 REPLICAS_SQL = f"""{ENTRIES_SQL},
 replicas AS (SELECT CAST(node AS INTEGER) AS node, idx, CASE WHEN idx <= n * a // 100 THEN term ELSE term - 1 END AS term
     FROM entries, (VALUES {_values(REPLICAS)}) v(node, a, b), (SELECT count(*) AS n FROM events) c WHERE idx <= n * b // 100),

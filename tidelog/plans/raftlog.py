@@ -102,6 +102,55 @@ def raft_commit(spark: SparkSession, d: str) -> DataFrame:
     return replog.commit_index(c.log, replog.match(c.log, c.own).select("cluster", "node", "match_idx"))
 
 
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    c = _Case(spark, d)
+    return replog.match(c.log, c.own).select("cluster", "node", "match_idx")
+
+
+def raft_quorum(spark: SparkSession, d: str) -> DataFrame:
+    return replog.quorum(_held(spark, d))
+
+
+def raft_lag(spark: SparkSession, d: str) -> DataFrame:
+    return replog.lag(_held(spark, d))
+
+
+def raft_send_plan(spark: SparkSession, d: str) -> DataFrame:
+    c = _Case(spark, d)
+    return M.send_plan(c.leaders, c.ends, c.progress)
+
+
+def raft_needs_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return raft_send_plan(spark, d).select("cluster", "node", "next_idx", (F.col("action") == "snapshot").alias("needs_snapshot"))
+
+
+def raft_propose(spark: SparkSession, d: str) -> DataFrame:
+    """Every command of the table proposed once more to its cluster's leader, in order of arrival."""
+    c = _Case(spark, d)
+    log = table(spark, d, "replicated_log").filter("key IS NOT NULL")
+    commands = log.select(F.col("cluster_id").alias("cluster"), F.col("feed_id").alias("seq"), "origin", "cmd_id").distinct()
+    return replog.propose(c.ends.select("cluster", (F.col("leads") + 1).alias("term"), "last_idx"), commands)
+
+
+def _states(c: _Case) -> DataFrame:
+    return c.nodes().select(
+        "cluster", "node", "term", F.lit(0).alias("voted_for"), F.lit("leader").alias("role"), F.lit(0).alias("leader"), "commit_idx",
+        (F.col("commit_idx") - F.col("node") % 2).alias("applied_idx"), "snapshot_idx",
+    )
+
+
+def raft_restart(spark: SparkSession, d: str) -> DataFrame:
+    return replog.restart(_states(_Case(spark, d)))
+
+
+def raft_install_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Every node is sent the leader's snapshot, node 2 one that it has had."""
+    c = _Case(spark, d)
+    end = F.when(F.col("node") == 2, 1).otherwise(F.col("snapshot_idx"))
+    sent = c.members.join(F.broadcast(c.leaders.select("cluster", "term", "snapshot_idx")), "cluster")
+    return replog.install_snapshot(_states(c), sent.select("cluster", "node", "term", end.alias("snapshot_idx")))
+
+
 def raft_node_match(spark: SparkSession, d: str) -> DataFrame:
     c = _Case(spark, d)
     return replog.match(c.log, c.own)
@@ -196,7 +245,7 @@ def raft_due(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        raft_commit, raft_node_match, raft_node_truncate, raft_reply, raft_snapshot_reply, raft_append_args, raft_install_args, raft_append_reply,
+        raft_quorum, raft_lag, raft_send_plan, raft_needs_snapshot, raft_propose, raft_restart, raft_install_snapshot, raft_commit, raft_node_match, raft_node_truncate, raft_reply, raft_snapshot_reply, raft_append_args, raft_install_args, raft_append_reply,
         raft_appended, raft_read_index, raft_snapshot, raft_compacted, raft_state, raft_persist, raft_due,
     )
 }
@@ -250,7 +299,24 @@ _STATE = f"""WITH {_NODES}, l AS (SELECT cluster, node, max(idx) AS last_idx, ar
         SELECT n.cluster, n.node, n.term, coalesce(l.last_idx, n.snapshot_idx) AS last_idx, coalesce(l.last_term, n.snapshot_term) AS last_term, n.commit_idx, n.snapshot_idx
         FROM nodes n LEFT JOIN l ON l.cluster = n.cluster AND l.node = n.node"""
 
+_QUORUM = f"""{_LED}, ranked AS (SELECT cluster, match_idx, row_number() OVER (PARTITION BY cluster ORDER BY match_idx DESC) AS rk, count(*) OVER (PARTITION BY cluster) AS n FROM held),
+quorum AS (SELECT cluster, match_idx AS quorum_idx FROM ranked WHERE rk = n // 2 + 1)"""
+_PLAN = f"""WITH {_LEADERS}, plan AS (SELECT p.cluster, p.node, p.next_idx, p.next_idx <= d.snapshot_idx AS snap, z.last FROM progress p JOIN leaders d ON d.cluster = p.cluster JOIN ends z ON z.cluster = p.cluster)"""
+_STATES = f"""WITH {_NODES}, states AS (SELECT cluster, node, term, 0 AS voted_for, commit_idx, commit_idx - node % 2 AS applied_idx, snapshot_idx FROM nodes)"""
+
 SQL = {
+    "raft_quorum": f"WITH {_QUORUM} SELECT cluster, quorum_idx FROM quorum",
+    "raft_lag": f"WITH {_QUORUM} SELECT h.cluster, h.node, greatest(quorum_idx - h.match_idx, 0) AS lag FROM held h JOIN quorum q ON q.cluster = h.cluster",
+    "raft_send_plan": f"""{_PLAN} SELECT cluster, node, next_idx, CASE WHEN snap THEN 'snapshot' WHEN next_idx <= last THEN 'append' ELSE 'heartbeat' END AS action,
+        CAST(CASE WHEN snap OR next_idx > last THEN 0 ELSE last - next_idx + 1 END AS BIGINT) AS n_entries FROM plan""",
+    "raft_needs_snapshot": f"{_PLAN} SELECT cluster, node, next_idx, snap AS needs_snapshot FROM plan",
+    "raft_propose": f"""WITH {_LED}, c AS (SELECT DISTINCT cluster_id AS cluster, feed_id, origin, cmd_id FROM replicated_log WHERE key IS NOT NULL)
+        SELECT c.cluster, z.last + row_number() OVER (PARTITION BY c.cluster ORDER BY feed_id) AS idx, z.leads + 1 AS term, origin, cmd_id FROM c JOIN ends z ON z.cluster = c.cluster""",
+    "raft_restart": f"{_STATES} SELECT cluster, node, term, voted_for, 'follower' AS role, CAST(NULL AS INTEGER) AS leader, snapshot_idx AS commit_idx, snapshot_idx AS applied_idx, snapshot_idx FROM states",
+    "raft_install_snapshot": f"""{_STATES}, m AS (SELECT s.*, d.term AS sent, CASE WHEN s.node = 2 THEN 1 ELSE d.snapshot_idx END AS upto FROM states s JOIN leaders d ON d.cluster = s.cluster),
+        j AS (SELECT *, sent >= term AS current, sent >= term AND upto > snapshot_idx AS newer FROM m)
+        SELECT cluster, node, greatest(term, sent) AS term, CASE WHEN newer THEN upto ELSE commit_idx END AS commit_idx, CASE WHEN newer THEN upto ELSE applied_idx END AS applied_idx,
+            CASE WHEN newer THEN upto ELSE snapshot_idx END AS snapshot_idx, current AS accepted FROM j""",
     "raft_state": _STATE,
     "raft_persist": _STATE,
     "raft_due": """WITH h AS (SELECT cluster_id AS cluster, node, max(received_at) AS heard FROM replicated_log GROUP BY 1, 2),

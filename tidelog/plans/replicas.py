@@ -17,10 +17,6 @@ PEER_LISTS = (
 )
 
 
-def raft_quorum(spark: SparkSession, d: str) -> DataFrame:
-    return replog.quorum(X.progress(spark, d))
-
-
 def raft_majority(spark: SparkSession, d: str) -> DataFrame:
     votes_ = spark.range(0, 8).select(F.explode(F.sequence(F.lit(0), F.col("id"))).alias("votes"), F.col("id").alias("size"))
     return votes_.select("votes", "size", replog.is_majority(F.col("votes"), F.col("size")).alias("majority"))
@@ -42,21 +38,6 @@ def _half(spark: SparkSession, d: str) -> int:
     return table(spark, d, "events").count() // 2
 
 
-def raft_needs_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    half = _half(spark, d)
-    return replog.send_plan(X.progress(spark, d), half, 2 * half).select("cluster", "node", "next_idx", (F.col("action") == "snapshot").alias("needs_snapshot"))
-
-
-def raft_send_plan(spark: SparkSession, d: str) -> DataFrame:
-    half = _half(spark, d)
-    return replog.send_plan(X.progress(spark, d), half, 2 * half)
-
-
-def raft_propose(spark: SparkSession, d: str) -> DataFrame:
-    new = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), (F.col("n_nationkey") + 1000).cast("bigint").alias("cmd_id"))
-    return replog.propose(X.log_entries(spark, d), new, 99)
-
-
 def raft_term_at(spark: SparkSession, d: str) -> DataFrame:
     half = _half(spark, d)
     asked = spark.range(-1, 2 * half + 3).select(F.col("id").alias("idx"))
@@ -67,29 +48,10 @@ def raft_follower_commit(spark: SparkSession, d: str) -> DataFrame:
     return replog.follower_commit(_half(spark, d), X.replicas(spark, d))
 
 
-def _states(spark: SparkSession, d: str) -> DataFrame:
-    p = X.progress(spark, d).filter("cluster = 'five'")
-    return p.select("node", F.col("node").cast("bigint").alias("term"), F.lit(0).alias("voted_for"), F.lit("leader").alias("role"), F.lit(0).alias("leader"), F.col("match_idx").alias("commit_idx"), F.col("match_idx").alias("applied_idx"), (F.col("match_idx") - 10 * F.col("node")).alias("snapshot_idx"))
-
-
-def raft_restart(spark: SparkSession, d: str) -> DataFrame:
-    return replog.restart(_states(spark, d))
-
-
-def raft_install_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").count()
-    sent = X.voters(spark).select("node", F.lit(2).cast("bigint").alias("term"), F.lit(n * 8 // 10).cast("bigint").alias("snapshot_idx"))
-    return replog.install_snapshot(_states(spark, d), sent)
-
-
 def raft_roles(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(0, 4).select(F.col("id").alias("role"), votes.role_name(F.col("id").cast("int")).alias("name"))
 
 
-def raft_lag(spark: SparkSession, d: str) -> DataFrame:
-    return replog.lag(X.progress(spark, d))
-
-
 def raft_converged(spark: SparkSession, d: str) -> DataFrame:
     """(node, n_differs): keys whose live value at a replica, which has applied a part of the log, is not the leader's."""
     log = X.mutation_log(spark, d)
@@ -149,16 +111,13 @@ def peers_entries(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        raft_quorum, raft_majority, raft_log_match, raft_truncate, raft_backoff, raft_needs_snapshot, raft_send_plan,
-        raft_propose, raft_term_at, raft_follower_commit, raft_restart, raft_install_snapshot, raft_roles, raft_lag, raft_converged, vote_eligible, vote_grant, vote_winner,
+        raft_majority, raft_log_match, raft_truncate, raft_backoff,
+        raft_term_at, raft_follower_commit, raft_roles, raft_converged, vote_eligible, vote_grant, vote_winner,
         vote_leader_progress, cmd_match, cmd_equiv, peers_parse, peers_entries,
     )
 }
 
 _N = "(SELECT count(*) FROM events)"
-_PLAN = f"""WITH {X.PROGRESS_SQL}, s AS (SELECT {_N} // 2 AS half),
-plan AS (SELECT cluster, node, match_idx + 1 AS next_idx, match_idx + 1 <= half AS snap,
-    CAST(CASE WHEN match_idx + 1 <= half THEN 0 ELSE greatest(2 * half - match_idx, 0) END AS BIGINT) AS n_entries FROM progress, s)"""
 _PEERS = f"""lists AS (SELECT CAST(list_id AS INTEGER) AS list_id, peers FROM (VALUES {X._values(enumerate(PEER_LISTS))}) v(list_id, peers)),
 parts AS (SELECT list_id, unnest(string_split(peers, ',')) AS e, generate_subscripts(string_split(peers, ','), 1) AS n FROM lists),
 cut AS (SELECT list_id, n, trim(e) AS e, instr(trim(e), '=') AS eq, CASE WHEN instr(trim(e), '=') > 0 THEN trim(substr(trim(e), 1, instr(trim(e), '=') - 1)) END AS id_text,
@@ -168,7 +127,6 @@ entries_ AS (SELECT list_id, id, address, CASE WHEN eq = 0 THEN 'no_equals' WHEN
     WHEN row_number() OVER (PARTITION BY list_id, id ORDER BY n) > 1 THEN 'repeated_id' END AS problem FROM typed)"""
 
 SQL = {
-    "raft_quorum": f"WITH {X.QUORUM_SQL} SELECT cluster, quorum_idx FROM quorum",
     "raft_majority": "SELECT v AS votes, s AS size, 2 * v > s AS majority FROM (SELECT unnest(range(0, 8)) AS s) a, (SELECT unnest(range(0, 8)) AS v) b WHERE v <= s",
     "raft_log_match": f"WITH {X.REPLICAS_SQL} SELECT * FROM matched",
     "raft_truncate": f"""WITH {X.REPLICAS_SQL},
@@ -176,19 +134,10 @@ SQL = {
         SELECT node, idx, term FROM kept UNION ALL
         SELECT m.node, e.idx, e.term FROM entries e, matched m WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.node = m.node AND k.idx = e.idx)""",
     "raft_backoff": f"WITH {X.REPLICAS_SQL} SELECT node, {_N} - match_idx AS rejections FROM matched",
-    "raft_needs_snapshot": f"{_PLAN} SELECT cluster, node, next_idx, snap AS needs_snapshot FROM plan",
-    "raft_send_plan": f"{_PLAN} SELECT cluster, node, next_idx, CASE WHEN snap THEN 'snapshot' WHEN n_entries > 0 THEN 'append' ELSE 'heartbeat' END AS action, n_entries FROM plan",
-    "raft_propose": f"SELECT {_N} + row_number() OVER (ORDER BY n_nationkey) AS idx, CAST(99 AS BIGINT) AS term, CAST(n_nationkey + 1000 AS BIGINT) AS cmd_id FROM nation",
     "raft_term_at": f"""WITH {X.ENTRIES_SQL}, h AS (SELECT {_N} // 2 AS half), a AS (SELECT unnest(range(-1, 2 * half + 3)) AS idx FROM h)
         SELECT a.idx, a.idx - half AS pos, CAST(CASE WHEN a.idx = half THEN 5 WHEN a.idx < half THEN -1 ELSE coalesce(term, -1) END AS BIGINT) AS term FROM a CROSS JOIN h LEFT JOIN entries e ON a.idx = e.idx""",
     "raft_follower_commit": f"WITH {X.REPLICAS_SQL} SELECT node, least(last_idx, {_N} // 2) AS commit_idx FROM ends",
-    "raft_restart": f"""WITH {X.PROGRESS_SQL} SELECT node, CAST(node AS BIGINT) AS term, 0 AS voted_for, 'follower' AS role, CAST(NULL AS INTEGER) AS leader,
-        match_idx - 10 * node AS commit_idx, match_idx - 10 * node AS applied_idx, match_idx - 10 * node AS snapshot_idx FROM progress WHERE cluster = 'five'""",
-    "raft_install_snapshot": f"""WITH {X.PROGRESS_SQL}, s AS (SELECT node, match_idx AS m, match_idx - 10 * node AS own, {_N} * 8 // 10 AS snap FROM progress WHERE cluster = 'five')
-        SELECT node, CAST(greatest(node, 2) AS BIGINT) AS term, CASE WHEN node <= 2 AND snap > own THEN snap ELSE m END AS commit_idx,
-            CASE WHEN node <= 2 AND snap > own THEN snap ELSE m END AS applied_idx, CASE WHEN node <= 2 AND snap > own THEN snap ELSE own END AS snapshot_idx, node <= 2 AS accepted FROM s""",
     "raft_roles": "SELECT CAST(role AS BIGINT) AS role, name FROM (VALUES (0, 'follower'), (1, 'candidate'), (2, 'leader'), (3, 'unknown')) v(role, name)",
-    "raft_lag": f"WITH {X.QUORUM_SQL} SELECT p.cluster, node, greatest(quorum_idx - match_idx, 0) AS lag FROM progress p JOIN quorum q ON p.cluster = q.cluster",
     "raft_converged": f"""WITH {X.LOG_SQL}, v AS (SELECT CAST(node AS INTEGER) AS node, {_N} * b // 100 AS applied FROM (VALUES {X._values(X.REPLICAS)}) v(node, a, b)),
         h AS (SELECT node, key, kind, value, row_number() OVER (PARTITION BY node, key ORDER BY seq DESC) AS r FROM log, v WHERE seq <= applied)
         SELECT v.node, count(*) FILTER (CASE WHEN h.kind = 0 THEN h.value END IS DISTINCT FROM CASE WHEN t.kind = 0 THEN t.value END) AS n_differs

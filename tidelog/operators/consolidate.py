@@ -329,7 +329,7 @@ def _ends(live: DataFrame, keys: DataFrame, n_records: int, ranges: int) -> list
     one_in = max(1, n_records // wanted)
     some = keys.filter(F.pmod(F.xxhash64("cluster_id", "key", "seq"), F.lit(one_in)) == 0).join(live, "file_id", "left_semi")
     # About as many as wanted; the limit holds if the listings gave far too few records.
-    got = order_keys(some.select("cluster_id", "key", "seq").limit(4 * SAMPLES_MAX).toArrow())
+    got = order_keys(some.select("cluster_id", "key", "seq").limit(2 * SAMPLES_MAX).toArrow())
     got.sort()
     return sorted({got[len(got) * k // ranges] for k in range(1, ranges)}) if got else []
 
@@ -364,7 +364,7 @@ def consolidate_files(
     live_rows = latest.filter(F.col("file_state") == "live")
     known = F.coalesce("n_bytes", F.col("n_records") * TYPICAL_BYTES, F.lit(TYPICAL_BYTES))
     size = live_rows.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(known), F.lit(0)), F.coalesce(F.sum(F.coalesce("n_records", F.lit(1))), F.lit(0))
+        F.count(F.lit(1)), F.coalesce(F.sum(known), F.lit(0)), F.coalesce(F.sum(F.coalesce("n_records", (F.col("n_bytes") / TYPICAL_BYTES).cast("bigint"), F.lit(1))), F.lit(0))
     ).first()
     live = live_rows.select("file_id")
     live = F.broadcast(live) if size[0] <= BROADCAST_FILES else live

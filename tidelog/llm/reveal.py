@@ -1,7 +1,7 @@
 """From a text to coded words: disguises undone, every word a number that holds its hash, categories and marks.
 
-Steps over the whole text undo what crosses words: escapes, markup, encoded data, broken and spaced words. What is left
-is split at blanks, and every distinct piece is looked at once per process.
+Steps over the whole text undo what crosses blanks: escapes, markup, broken and spaced words. What is left is split at
+blanks, and distinct pieces are looked at once per process: encoded data, letters of other scripts, signs for letters.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import html
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -29,7 +30,8 @@ _TAGS = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|mark|s|small|span
 _RUN = re.compile(r"[A-Za-z0-9+/=]{48,}")
 _RISES, _DIGIT = re.compile("[a-z][A-Z]"), re.compile("[0-9]")
 _BROKEN = re.compile(r"-(?<=[^\W\d_]-)(?:[ \t]*\n[ \t#>*]*|[ ])(?=[^\W\d_])")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ ._*\-~|/])[^\W\d_]\1[^\W\d_](?:\1[^\W\d_])*(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([._*\-~|/])[^\W\d_]\1[^\W\d_](?:\1[^\W\d_])*(?![^\W_])")
+_SINGLES = re.compile(b"\x01{3,}")
 _LEET = re.compile(r"[a-z]+[0-9@$#*!][a-z0-9@$#*!]*|[0-9@$#*!]+[a-z][a-z0-9@$#*!]*")
 _INSIDE = re.compile(r"[a-z][0-9@$]+[a-z]")
 _WORD = re.compile(f"[{L.EAST}]|[^\\W\\d_{L.EAST}]+")
@@ -52,7 +54,7 @@ def _unescape(text: str) -> str:
 
 
 def prepare(text: str) -> str:
-    """The text with all that crosses words undone; letters keep their case."""
+    """The text with all that crosses blanks undone; letters keep their case."""
     if "\\" in text:
         if '\\n",' in text:
             text = _LINE_ITEMS.sub("\n", text)
@@ -65,10 +67,9 @@ def prepare(text: str) -> str:
         text = html.unescape(text)
     if "<" in text:
         text = _TAGS.sub("", text)
-    text = L.fold(L.part(_RUN.sub(_encoded, text)))
     if "- " in text or "-\n" in text:
         text = _BROKEN.sub("", text)
-    return _SPACED.sub(lambda m: m[0].replace(m[1], "") + "\x00", text)
+    return text
 
 
 @lru_cache(1)
@@ -135,7 +136,18 @@ def _read(lower: str, piece: str, lo: int, hi: int, spaced: bool) -> list[int]:
 
 
 def _codes(piece: str) -> tuple[int, ...]:
-    """The coded words of a piece without blanks."""
+    """The coded words of a piece without blanks; a piece put together from single letters ends with a null."""
+    if len(piece) >= 48:
+        piece = _RUN.sub(_encoded, piece)
+    if not piece.isascii():
+        piece = L.fold(L.part(piece))
+    parts = piece.split()
+    return _folded(piece) if len(parts) == 1 else tuple(c for p in parts for c in _folded(p))
+
+
+def _folded(piece: str) -> tuple[int, ...]:
+    if not piece.isalpha():
+        piece = _SPACED.sub(lambda m: m[0].replace(m[1], "") + "\x00", piece)
     spaced = "\x00" in piece
     if spaced:
         piece = piece.replace("\x00", "")
@@ -174,23 +186,46 @@ def _codes(piece: str) -> tuple[int, ...]:
 _kept: dict[str, tuple[int, ...]] = {}
 
 
+def _learn(piece: str) -> tuple[int, ...]:
+    if piece.isascii() and piece.upper() == piece.lower():
+        # Neither letters nor, without any, signs for them; of these only the common ones are kept.
+        codes, most = (), 3
+    else:
+        codes, most = _codes(piece), KEPT_LENGTH
+    if len(piece) <= most:
+        if len(_kept) >= KEPT_PIECES:
+            _kept.clear()
+        _kept[piece] = codes
+    return codes
+
+
+def _unspaced(pieces: list[str], single: bytes) -> list[str]:
+    """The pieces with runs of three or more single letters put together."""
+    out: list[str] = []
+    at = 0
+    for m in _SINGLES.finditer(single):
+        word = "".join(pieces[m.start() : m.end()])
+        out += pieces[at : m.start()]
+        out += [word + "\x00"] if word.isalpha() else pieces[m.start() : m.end()]
+        at = m.end()
+    return out + pieces[at:]
+
+
 def coded(text: str) -> np.ndarray:
     """The coded words of a text."""
-    out: list[int] = []
-    get = _kept.get
-    for piece in prepare(text).split():
-        codes = get(piece)
-        if codes is None:
-            if piece.isascii() and piece.upper() == piece.lower():
-                # Neither letters nor, without any, signs for them.
-                continue
-            codes = _codes(piece)
-            if len(piece) <= KEPT_LENGTH:
-                if len(_kept) >= KEPT_PIECES:
-                    _kept.clear()
-                _kept[piece] = codes
-        out += codes
-    return np.array(out, np.int64)
+    pieces = prepare(text).split()
+    single = bytes([len(p) == 1 for p in pieces])
+    if b"\x01\x01\x01" in single:
+        pieces = _unspaced(pieces, single)
+    found = list(map(_kept.get, pieces))
+    at = -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            found[at] = _learn(pieces[at])
+    except ValueError:  # none is left
+        pass
+    return np.fromiter(chain.from_iterable(found), np.int64)
 
 
 def words(text: str) -> list[str]:

@@ -259,6 +259,13 @@ def test_offsets_of_large_and_small_runs(spark):
     assert got == want
 
 
+def test_levels_follow_the_rows():
+    from tidelog.operators.blocked import levels_for
+
+    assert [levels_for(n, 10) for n in (0, 1, 100, 101, 1000, 1001)] == [1, 1, 1, 2, 2, 3]
+    assert [levels_for(n) for n in (1 << 20, 1 << 32, (1 << 32) + 1)] == [1, 1, 2]
+
+
 @pytest.mark.parametrize("levels,width", [(1, 3), (2, 3), (3, 2), (2, 1000)])
 def test_running_values_on_several_levels(spark, levels, width):
     from tidelog.operators.blocked import running

@@ -58,6 +58,15 @@ def running(
     return joined.withColumn(out, join(F.col("_near"), F.col("_out"))).drop("_block", "_near", "_out")
 
 
+def levels_for(rows: int, width: int = 65536) -> int:
+    """The levels of blocks by which no window sees more than a width of rows, however they are spread over groups."""
+    levels = 1
+    # Blocks of one row make no fewer rows.
+    while width > 1 and rows > width ** (levels + 1):
+        levels += 1
+    return levels
+
+
 def suffix_min(df: DataFrame, groups: Sequence[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """Adds `out`: the least `value` among the rows of the group with a strictly greater `order`, else null.
 
@@ -112,5 +121,7 @@ def prefix_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, out
 
     `order` must be an integer column, unique within its group.
     """
-    summed = running(df, groups, order, value, out, "sum", width=width, levels=1 if groups else 2)
+    # Of a Parquet table the count reads the footers alone; groups are taken to be parts of the data.
+    levels = 1 if groups else levels_for(df.count(), width)
+    summed = running(df, groups, order, value, out, "sum", width=width, levels=levels)
     return summed.withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))

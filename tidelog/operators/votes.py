@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.blocked import running
+from tidelog.operators.blocked import levels_for, running
 
 ROLES = ("follower", "candidate", "leader")
 
@@ -32,7 +32,8 @@ def granted(requests: DataFrame, voters: DataFrame, width: int = 65536) -> DataF
     The highest term seen is a running maximum in order of arrival. It is computed in blocks of arrivals, as the
     voters are few and the requests are not.
     """
-    seen = running(eligible(requests, voters), ["node"], "arrival", "term", "_top", "max", own=True, width=width, levels=2)
+    levels = levels_for(requests.count(), width)
+    seen = running(eligible(requests, voters), ["node"], "arrival", "term", "_top", "max", own=True, width=width, levels=levels)
     fresh = seen.filter(F.col("eligible") & (F.col("term") >= F.col("_top")))
     first = Window.partitionBy("node", "term").orderBy("arrival")
     return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("node", "term", "candidate", "arrival")

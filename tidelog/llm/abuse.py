@@ -265,9 +265,17 @@ class Evidence:
         ]
 
 
-def learn(rows: DataFrame, most: int = PATTERNS_MAX) -> Evidence:
-    """The evidence of a sample: patterns that two toxic documents hold, or three others near a listed word, at most
-    `most` of them."""
+def totals(rows: DataFrame) -> np.ndarray:
+    """For each fold how many documents of the sample are clean, and how many toxic."""
+    out = np.zeros((FOLDS, 2))
+    for r in rows.groupBy("fold", (F.col("y") > 0).cast("int").alias("toxic")).count().collect():
+        out[r.fold, r.toxic] = r["count"]
+    return out
+
+
+def learn(rows: DataFrame, of: np.ndarray, most: int = PATTERNS_MAX) -> Evidence:
+    """The evidence of a sample with the given totals(): patterns that two toxic documents hold, or three others near a
+    listed word, at most `most` of them."""
     seen = rows.select("y", "fold", "rates", "codes").mapInArrow(_tally, "h bigint, toxic bigint, clean bigint")
     enough = seen.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic >= 2 OR clean >= 3")
     chosen = enough.orderBy(F.desc(F.col("toxic") + F.col("clean")), "h").limit(most).select("h").toArrow()
@@ -276,10 +284,7 @@ def learn(rows: DataFrame, most: int = PATTERNS_MAX) -> Evidence:
     got = split.groupBy("at", "col").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(hashes), 2 * FOLDS), np.int64)
     counts[got["at"].to_numpy(), got["col"].to_numpy()] = got["n"].to_numpy()
-    totals = np.zeros((FOLDS, 2))
-    for r in rows.groupBy("fold", (F.col("y") > 0).cast("int").alias("toxic")).count().collect():
-        totals[r.fold, r.toxic] = r["count"]
-    return Evidence(hashes, counts.reshape(-1, FOLDS, 2), totals)
+    return Evidence(hashes, counts.reshape(-1, FOLDS, 2), of)
 
 
 def sample_vectors(evidence: Evidence):
@@ -332,10 +337,11 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> Mo
 
 
 def _fit(rows: DataFrame, most: int) -> Model:
-    sizes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    if min(sizes[1], sizes[0] - sizes[1]) < LABELLED_MIN:
-        return Model(np.zeros((0, len(FEATURES))), np.full(sizes[0], sizes[1] / max(1, sizes[0])), np.zeros(0))
-    evidence = learn(rows)
+    of = totals(rows)
+    clean, toxic = of.sum(0).astype(int)
+    if min(clean, toxic) < LABELLED_MIN:
+        return Model(np.zeros((0, len(FEATURES))), np.repeat([0.0, 1.0], [clean, toxic]), np.zeros(0))
+    evidence = learn(rows, of)
     # As many rows as labels were chosen, unless an id occurs in several documents; of those one is taken.
     schema = "doc_id bigint, y double, fold int, features array<float>"
     by_doc = rows.mapInArrow(sample_vectors(evidence), schema).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most)

@@ -306,6 +306,27 @@ def sample_vectors(evidence: Evidence):
     return run
 
 
+#: The weight, beside a document as it is, of the document as if its wording were new.
+UNLEARNT_WEIGHT = 0.3
+#: What the learnt patterns say in favour of abuse.
+_LEARNT = [AT[f] for f in ("learnt_best", "learnt_second", "learnt_strong", "learnt_density", "learnt_near_second")]
+
+
+def unlearnt(x: np.ndarray) -> np.ndarray:
+    """The vectors as they would be had no pattern in favour of abuse been met before."""
+    out = x.copy()
+    out[:, _LEARNT] = 0
+    out[:, AT["learnt_at_hit"]] = 0
+    return out
+
+
+def _grown(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Trees grown on every document as it is and once more as if its wording were new, so that the lists decide where
+    the patterns do not."""
+    weight = np.repeat([1.0, UNLEARNT_WEIGHT], len(y))
+    return Trees().fit(np.concatenate([x, unlearnt(x)]), np.concatenate([y, y]), weight)
+
+
 class Model:
     """Evidence, trees and calibration; with too few labels of either kind to learn, the share of toxic ones alone."""
 
@@ -318,10 +339,10 @@ class Model:
         # Calibrated on scores each document gets from trees grown without its fold.
         held = np.empty(len(y))
         for k in np.unique(fold):
-            held[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+            held[fold == k] = _grown(x[fold != k], y[fold != k]).margin(x[fold == k])
         self.held = held
         self.steps = isotonic(held, y)
-        self.trees = Trees().fit(x, y)
+        self.trees = _grown(x, y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:

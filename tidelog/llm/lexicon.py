@@ -54,7 +54,7 @@ pragas escoria expulsar sumam faggot fag dyke tranny nigger negro kike spic chin
 gypsies kanake schwuchtel neger zigeuner maricones negrata sudaca bougnoule youpin bicha viado нацмен хач
 """.split()
 SEXUAL = """
-cock pussy porn porno pornographic tits titties boobs nipple panties horny nudes cum cumming dildo blowjob orgasm
+cock dick pussy porn porno pornographic tits titties boobs nipple panties horny nudes cum cumming dildo blowjob orgasm
 handjob boner erection masturbate masturbating masturbation anal fellatio bukkake threesome milf hentai ejaculate
 titten ficken fickt muschi schwanz geil wichsen follar follando coger polla chocho tetas corrida verga chupame
 baiser bite chatte nichons branler sucer foutre piroca buceta pelada gozar transar punheta boquete scopare figa cazzo

@@ -23,38 +23,53 @@ class Trees:
             edges = np.concatenate([edges, np.unique(v)[: self.bins], np.quantile(v[~common], at)])
         return np.unique(edges)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        weight = np.ones(len(y)) if weight is None else weight
         edges = [self._edges(x[:, j]) for j in range(x.shape[1])]
         width = max(len(e) for e in edges) + 1
         binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
         offset = binned + np.arange(x.shape[1]) * width
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        share = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
         self.start = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.start)
         for _ in range(self.rounds):
             prob = 1 / (1 + np.exp(-score))
-            g, h = prob - y, prob * (1 - prob)
+            g, h = weight * (prob - y), weight * prob * (1 - prob)
             node = np.zeros(len(y), np.int64)
             tree: list[tuple[int, float, float]] = [(-1, 0.0, 0.0)] * (2 ** (self.depth + 1) - 1)
+
+            def sums(rows: np.ndarray) -> np.ndarray:
+                """(2, features, bins): the sums of g and h of the rows in each bin."""
+                flat = offset[rows].ravel()
+                return np.stack([np.bincount(flat, np.repeat(v[rows], x.shape[1]), width * x.shape[1]).reshape(-1, width) for v in (g, h)])
+
+            open_ = {0: (np.arange(len(y)), sums(np.arange(len(y))))}
             for level in range(self.depth + 1):
-                for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                    rows = np.flatnonzero(node == k)
-                    if not len(rows):
-                        continue
+                below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for k, (rows, of) in open_.items():
                     gs, hs = g[rows].sum(), h[rows].sum()
                     tree[k] = (-1, 0.0, float(-self.rate * gs / (hs + self.l2)))
                     if level == self.depth or hs < 2 * self.least:
                         continue
-                    flat = offset[rows].ravel()
-                    gh = np.bincount(flat, np.repeat(g[rows], x.shape[1]), width * x.shape[1]).reshape(-1, width).cumsum(1)
-                    hh = np.bincount(flat, np.repeat(h[rows], x.shape[1]), width * x.shape[1]).reshape(-1, width).cumsum(1)
+                    gh, hh = of.cumsum(2)
                     gain = gh**2 / (hh + self.l2) + (gs - gh) ** 2 / (hs - hh + self.l2) - gs**2 / (hs + self.l2)
                     gain[(hh < self.least) | (hs - hh < self.least)] = 0
                     j, cut = np.unravel_index(int(gain.argmax()), gain.shape)
                     if gain[j, cut] <= 1e-6 or cut >= len(edges[j]):
                         continue
                     tree[k] = (int(j), float(edges[j][cut]), tree[k][2])
-                    node[rows] = 2 * k + 1 + (binned[rows, j] > cut)
+                    right = binned[rows, j] > cut
+                    node[rows] = 2 * k + 1 + right
+                    parts = rows[~right], rows[right]
+                    if level + 1 < self.depth:
+                        # Only the smaller part is summed; the other is what is left.
+                        few = int(len(parts[1]) < len(parts[0]))
+                        own = sums(parts[few])
+                        both = (own, of - own) if few == 0 else (of - own, own)
+                    else:
+                        both = (of, of)  # leaves look at no bins
+                    below[2 * k + 1], below[2 * k + 2] = (parts[0], both[0]), (parts[1], both[1])
+                open_ = below
             values = np.array([t[2] for t in tree])
             score += values[node]
             self.trees.append(tree)

@@ -37,7 +37,8 @@ def is_delete(kind: Column, op: Column) -> Column:
 
 def overruled_from(log: DataFrame) -> DataFrame:
     """(cluster_id, term, overruled_from): the idx from which on an entry of the term is overruled; null if never."""
-    firsts = log.groupBy("cluster_id", "term").agg(F.min("idx").alias("first_idx"))
+    # Written once, a row for each term: it is read twice, the log should not be.
+    firsts = materialize(log.groupBy("cluster_id", "term").agg(F.min("idx").alias("first_idx")), "firsts")
     return suffix_min(firsts, ["cluster_id"], "term", "first_idx", "overruled_from").drop("first_idx")
 
 

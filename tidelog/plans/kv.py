@@ -237,4 +237,16 @@ SQL = {
         q AS (SELECT h.key, s.gen, (h1 + i * h2) % m AS pos FROM halves h, gsize s, (SELECT unnest(range(0, 7)) AS i) g),
         a AS (SELECT q.key, q.gen, bool_and(p.pos IS NOT NULL) AS maybe FROM q LEFT JOIN gpos p ON q.gen = p.gen AND q.pos = p.pos GROUP BY ALL)
         SELECT key, count(*) FILTER (maybe) AS runs_read, count(*) FILTER (NOT maybe) AS runs_skipped FROM a GROUP BY key""",
+    "bloom_blobs": """
+        WITH l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY listed_at DESC, bloom_k DESC, bloom_m DESC, bloom_bits DESC) AS rn FROM sstables WHERE file_id IS NOT NULL),
+        sound AS (SELECT file_id, bloom_m AS m, hex(bloom_bits) AS bits FROM l WHERE rn = 1 AND bloom_k = 7 AND octet_length(bloom_bits) * 8 = bloom_m),
+        k AS (SELECT DISTINCT r.file_id, r.key FROM runs r JOIN sound s ON s.file_id = r.file_id WHERE r.key IS NOT NULL),
+        d AS (SELECT key, hex(encode(key)) AS x FROM (SELECT DISTINCT key FROM k) q),
+        f AS (SELECT key, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen(key) + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::INTEGER::HUGEINT)),
+            lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) AS h FROM d),
+        p AS (SELECT k.file_id, k.key, s.bits, CAST((f.h % 4294967296 + i * greatest(f.h // 4294967296, 1)) % s.m AS BIGINT) AS pos
+            FROM k JOIN sound s ON s.file_id = k.file_id JOIN f ON f.key = k.key, (SELECT unnest(range(0, 7)) AS i) g),
+        t AS (SELECT file_id, key, bool_and((('0x' || substr(bits, 2 * (pos // 8) + 1, 2))::INTEGER >> (pos % 8)::INTEGER) & 1 = 1) AS maybe FROM p GROUP BY file_id, key)
+        SELECT file_id, count(*) AS n_keys, count(*) FILTER (NOT maybe) AS n_missing FROM t GROUP BY file_id
+    """,
 }

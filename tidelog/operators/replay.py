@@ -35,10 +35,9 @@ def is_delete(kind: Column, op: Column) -> Column:
     return F.coalesce(kind == 1, F.lower(F.trim(op)).isin(*DELETE_OPS), F.lit(False))
 
 
-def overruled_from(log: DataFrame) -> DataFrame:
-    """(cluster_id, term, overruled_from): the idx from which on an entry of the term is overruled; null if never."""
-    # Written once, a row for each term: it is read twice, the log should not be.
-    firsts = materialize(log.groupBy("cluster_id", "term").agg(F.min("idx").alias("first_idx")), "firsts")
+def overruled_from(firsts: DataFrame) -> DataFrame:
+    """(cluster_id, term, overruled_from): the idx from which on an entry of the term is overruled; null if never.
+    `firsts`: (cluster_id, term, first_idx), the least idx of each term."""
     return suffix_min(firsts, ["cluster_id"], "term", "first_idx", "overruled_from").drop("first_idx")
 
 
@@ -50,9 +49,14 @@ def unknown_ops(log: DataFrame) -> DataFrame:
 
 
 def term_cuts(log: DataFrame) -> DataFrame:
-    """(cluster_id, term, _tl_cut): overruled_from(), written once and broadcast if small: the log need not be shuffled by term."""
-    cut = materialize(overruled_from(_whole(log)).withColumnRenamed("overruled_from", "_tl_cut"), "terms")
-    return F.broadcast(cut) if cut.count() <= BROADCAST_TERMS else cut
+    """(cluster_id, term, _tl_cut): overruled_from(), broadcast if small: the log need not be shuffled by term.
+
+    The least idx of each term is written once, a row for each term: the log is read once for it, and their number, which
+    is that of the cuts too, is known before anything is joined.
+    """
+    firsts = materialize(_whole(log).groupBy("cluster_id", "term").agg(F.min("idx").alias("first_idx")), "firsts")
+    cut = overruled_from(firsts).withColumnRenamed("overruled_from", "_tl_cut")
+    return F.broadcast(cut) if firsts.count() <= BROADCAST_TERMS else cut
 
 
 def _whole(log: DataFrame) -> DataFrame:
